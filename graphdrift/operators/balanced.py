@@ -17,6 +17,8 @@ import heapq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.runtime import cut
+
 BUCKETS_PER_TASK = 8
 LOAD_FRACTION = 0.1
 
@@ -69,8 +71,6 @@ def plan_loads(df: DataFrame, key: str, tasks: int | None = None, fraction: floa
     loads = (
         df.where(F.col(key).isNotNull()).select(key).sample(fraction=fraction, seed=7).groupBy(key).agg(F.count("*").alias("n"))
     )
-    from ..plans.runtime import cut
-
     loads = cut(loads)
     share = (loads.agg(F.sum("n")).first()[0] or 0) / tasks
     big = {r[0]: r[1] for r in loads.where(F.col("n") > max(share, 1.0)).collect()}  # fewer than `tasks` keys exceed a fair share
@@ -91,10 +91,14 @@ def plan_loads(df: DataFrame, key: str, tasks: int | None = None, fraction: floa
     return LoadPlan(tasks, large, [placed[b] for b in range(n_buckets)])
 
 
-def fragment_replicate_join(fact: DataFrame, side: DataFrame, key: str, how: str = "left", plan: LoadPlan | None = None) -> DataFrame:
+def fragment_replicate_join(
+    fact: DataFrame, side: DataFrame, key: str, how: str = "left", plan: LoadPlan | None = None, hash_side: bool = False
+) -> DataFrame:
     """fact joined to side on `key`, placed by load; keeps `_task`, the task a row was sent to.
 
     `how` is 'inner' or 'left'. Null keys match nothing. Columns of both sides other than `key` must differ in name.
+    hash_side builds a hash table of a task's share of side instead of sorting both; for sides with one row per key.
     """
     plan = plan or plan_loads(fact, key)
-    return plan.fragment(fact, key).join(plan.replicate(side, key), ["_task", key], how)
+    right = plan.replicate(side, key)
+    return plan.fragment(fact, key).join(right.hint("shuffle_hash") if hash_side else right, ["_task", key], how)

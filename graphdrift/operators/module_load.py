@@ -27,7 +27,7 @@ def module_totals(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         .groupBy("to_module")
         .agg(F.count("*").alias("n_nodes"), F.count_if(F.col("node_kind") == "internal").alias("n_internal"))
     )
-    placed = fragment_replicate_join(fact, side, "to_module", "left")
+    placed = fragment_replicate_join(fact, side, "to_module", "left", hash_side=True)
     shards = placed.groupBy("_task", "to_module").agg(
         F.count("*").alias("row_count"),
         F.sum("weight").alias("total_weight"),
@@ -44,7 +44,5 @@ def module_totals(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def hot_modules(edges: DataFrame, nodes: DataFrame, share: float = HOT_SHARE) -> DataFrame:
     """(to_module) for modules holding more than `share` of the rows that name a module."""
-    totals = module_totals(edges, nodes)
-    whole = totals.agg(F.sum("row_count").alias("whole"))
-    # one row joins one column: `whole` is a single aggregate row
-    return totals.join(F.broadcast(whole), F.col("row_count") > F.col("whole") * F.lit(share)).select("to_module")
+    whole = edges.where(module_name(F.col("to_module")).isNotNull()).count()
+    return module_totals(edges, nodes).where(F.col("row_count") > F.lit(whole) * F.lit(share)).select("to_module")
