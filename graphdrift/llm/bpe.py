@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: White_Space of Unicode, as the body of a character class (fixed values).
-WHITE = "\t-\r \x85\xa0  -     　"
+WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Distinct segments that a worker remembers; beyond it, it starts anew.
 MAX_SEGMENTS = 400_000
 #: Characters after which a worker encodes what it has gathered.
