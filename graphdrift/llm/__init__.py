@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_QUERY_MODULES = ("term_queries", "token_queries", "source_queries", "encoding_queries")
+_QUERY_MODULES = ("term_queries", "token_queries", "source_queries", "encoding_queries", "name_queries")
 
 
 def query_modules() -> list:
