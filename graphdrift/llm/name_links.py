@@ -30,9 +30,9 @@ FUNCTION_DOMAINS = 3
 _BOTS = r"(?i)\[bot\]|@bots\.|^unknown$"
 
 
-def edits(length: Column) -> Column:
+def word_edits(length: int) -> int:
     """Edits allowed for a word of this length."""
-    return F.when(length >= 11, 3).when(length >= 6, 2).when(length >= 4, 1).otherwise(0)
+    return 3 if length >= 11 else 2 if length >= 6 else 1 if length >= 4 else 0
 
 
 def typed_pairs(commits: DataFrame) -> DataFrame:
@@ -101,59 +101,64 @@ def read_pairs(pairs: DataFrame, lex: Lexicon) -> DataFrame:
     )
 
 
-def _index_entries(df: DataFrame, word: str, k: int) -> DataFrame:
-    """df with (n, i, seg): the k+1 segments of each word, even in length, the longer ones last."""
-    n, parts = F.length(word), k + 1
-    short = F.floor(n / parts).cast("int")
-    longer = (n - short * parts).cast("int")
-    rows = []
-    for i in range(parts):
-        size = short + F.when(F.lit(i) >= parts - longer, 1).otherwise(0)
-        start = F.lit(i) * short + F.greatest(F.lit(0), F.lit(i) - (parts - longer))
-        rows.append(F.struct(F.lit(i).alias("i"), F.substring(F.col(word), start + 1, size).alias("seg")))
-    return df.withColumn("_e", F.explode(F.array(*rows))).select(*df.columns, n.alias("n"), F.col("_e.i").alias("i"), F.col("_e.seg").alias("seg"))
+def _cuts(n: int, k: int) -> list[tuple[int, int]]:
+    """(place, length) of the k+1 segments of a word of n letters, even in length, the longer ones last."""
+    short, longer = divmod(n, k + 1)
+    out, at = [], 0
+    for i in range(k + 1):
+        size = short + (i >= k + 1 - longer)
+        out.append((at, size))
+        at += size
+    return out
 
 
-def _probe_entries(df: DataFrame, word: str, k: int) -> DataFrame:
-    """df with (n, i, seg): the substrings that a word within k edits and no longer than this one may have as segment i.
+def index_entries(word: str) -> Iterator[tuple[int, int, int, str]]:
+    """(k, n, i, segment): the segments by which words of other spellings find this one, for every number of edits."""
+    for k in (1, 2, 3):
+        for i, (at, size) in enumerate(_cuts(len(word), k)):
+            if size:
+                yield k, len(word), i, word[at : at + size]
+
 
-    Of a segment at place p of a word shorter by d, only starts within i edits to its left side and k - i to its right side
-    can take part in an alignment that keeps the segment.
+def probe_entries(word: str) -> Iterator[tuple[int, int, int, str]]:
+    """(k, n, i, substring): what a word within k edits and no longer than this one may have as segment i.
+
+    Of a segment of a word shorter by d, only starts within i edits to the left and k - i after it can take part in an
+    alignment that keeps the segment.
     """
-    m, parts = F.length(word), k + 1
-    rows = []
-    for d in range(k + 1):
-        n = m - d
-        short = F.floor(n / parts).cast("int")
-        longer = (n - short * parts).cast("int")
-        for i in range(parts):
-            size = short + F.when(F.lit(i) >= parts - longer, 1).otherwise(0)
-            start = F.lit(i) * short + F.greatest(F.lit(0), F.lit(i) - (parts - longer))
+    k, m = word_edits(len(word)), len(word)
+    for d in range(min(k, m - 1) + 1) if k else ():
+        for i, (place, size) in enumerate(_cuts(m - d, k)):
             for shift in range(max(-i, d - (k - i)), min(i, d + (k - i)) + 1):
-                at = start + shift
-                ok = (at >= 0) & (at + size <= m) & (size > 0) & (n > 0)
-                rows.append(F.when(ok, F.struct(n.alias("n"), F.lit(i).alias("i"), F.substring(F.col(word), at + 1, size).alias("seg"))))
-    e = df.withColumn("_e", F.explode(F.array_compact(F.array(*rows))))
-    return e.select(*df.columns, F.col("_e.n").alias("n"), F.col("_e.i").alias("i"), F.col("_e.seg").alias("seg")).distinct()
+                at = place + shift
+                if size and at >= 0 and at + size <= m:
+                    yield k, m - d, i, word[at : at + size]
+
+
+def _entries(words: DataFrame, word: str, within: list[str], name: str, make) -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(*(r[c] for c in within), r[word], *e) for r in pdf.to_dict("records") for e in set(make(r[word]))]
+            yield pd.DataFrame(rows, columns=[*within, name, "k", "n", "i", "seg"])
+
+    kinds = "".join(f"{c} string, " for c in within)
+    return words.select(*within, word).mapInPandas(run, f"{kinds}{name} string, k int, n int, i int, seg string")
 
 
 def segment_join(words: DataFrame, word: str, within: list[str] | None = None) -> DataFrame:
-    """(within..., a, b, dist): all pairs of distinct words, a and b in either order, within the edits that the longer one allows.
+    """(within..., a, b, dist): all pairs of distinct words, in either order, within the edits that the longer one allows.
 
     `words` has one row for each (within..., word); pairs are made only where the columns `within` agree.
     """
     within = within or []
-    out = None
-    for k in (1, 2, 3):
-        longer = words.where(edits(F.length(word)) == k).select(*within, F.col(word).alias("a"))
-        near = words.where(F.length(word) >= 3).select(*within, F.col(word).alias("b"))
-        index, probe = _index_entries(near, "b", k), _probe_entries(longer, "a", k)
-        cand = probe.join(index, [*within, "n", "i", "seg"]).where("a != b").select(*within, "a", "b").distinct()
-        dist = F.levenshtein(F.col("a"), F.col("b"), k)
-        found = cand.withColumn("dist", dist).where("dist >= 0")
-        out = found if out is None else out.unionByName(found)
-    both = out.unionByName(out.select(*within, F.col("b").alias("a"), F.col("a").alias("b"), "dist"))
-    return both.groupBy(*within, "a", "b").agg(F.min("dist").alias("dist"))
+    probe = _entries(words, word, within, "a", probe_entries)
+    index = _entries(words, word, within, "b", index_entries)
+    cand = probe.join(index, [*within, "k", "n", "i", "seg"]).where("a != b").select(*within, "a", "b", "k").distinct()
+    dist = F.when(F.col("k") == 1, F.levenshtein("a", "b", 1)).when(F.col("k") == 2, F.levenshtein("a", "b", 2)).otherwise(F.levenshtein("a", "b", 3))
+    found = cand.withColumn("dist", dist).where("dist >= 0")
+    turn = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    both = found.select(*within, turn.alias("_p"), "dist").select(*within, "_p.a", "_p.b", "dist")
+    return cut(both.groupBy(*within, "a", "b").agg(F.min("dist").alias("dist")))
 
 
 def _nearest(cand: DataFrame, source: list[str], target: list[str]) -> DataFrame:
@@ -182,11 +187,11 @@ def canonical_names(people: DataFrame, forms: DataFrame, lex: Lexicon) -> DataFr
         .where((F.col("n_b") > F.col("n")) | ((F.col("n_b") == F.col("n")) & ((F.col("s_b") > F.col("s")) | ((F.col("s_b") == F.col("s")) & (F.col("b") < F.col("surname"))))))
         .select("kind", "given", "surname", "b", "dist", "n_b")
     )
-    s_map = _nearest(s_cand, ["kind", "given", "surname"], ["b"]).select("kind", "given", "surname", F.col("b").alias("sur1"))
+    s_map = _nearest(cut(s_cand), ["kind", "given", "surname"], ["b"]).select("kind", "given", "surname", F.col("b").alias("sur1"))
     step = cut(names.join(s_map, ["kind", "given", "surname"], "left").withColumn("sur1", F.coalesce("sur1", "surname")))
     # two steps lead a variant of a variant home
     s2 = step.select("kind", "given", F.col("surname").alias("sur1"), F.col("sur1").alias("sur2"))
-    step = step.join(s2, ["kind", "given", "sur1"], "left").withColumn("sur", F.coalesce("sur2", "sur1"))
+    step = cut(step.join(s2, ["kind", "given", "sur1"], "left").withColumn("sur", F.coalesce("sur2", "sur1")))
     # given name: within one surname, forms of one name or within some edits
     g = cut(step.where("kind = 'person'").groupBy(F.col("sur").alias("surname"), "given").agg(F.sum("n").alias("n")))
     g_near = segment_join(g.select("surname", "given"), "given", ["surname"])
@@ -210,7 +215,7 @@ def canonical_names(people: DataFrame, forms: DataFrame, lex: Lexicon) -> DataFr
         .where(F.col("b").startswith(F.col("given")) & (F.length("b") > F.length("given")))
         .select("surname", "given", "b", F.lit(0).alias("dist"), "n_b")
     )
-    g_map = _nearest(short.unionByName(typo).unionByName(prefix).distinct(), ["surname", "given"], ["b"])
+    g_map = _nearest(cut(short.unionByName(typo).unionByName(prefix).distinct()), ["surname", "given"], ["b"])
     g_map = g_map.where("NOT even").select(F.col("surname").alias("sur"), "given", F.col("b").alias("to_given"))
     out = step.join(g_map, ["sur", "given"], "left")
     return out.select("kind", "given", "surname", F.when(F.col("kind") == "person", F.coalesce("to_given", "given")).otherwise(F.col("given")).alias("to_given"), F.col("sur").alias("to_surname"))
@@ -226,7 +231,7 @@ def nodes(pairs: DataFrame, forms: DataFrame, lex: Lexicon) -> DataFrame:
         "s", F.when(whole | ~from_mail, F.col("surname")).otherwise(F.col("mail_surname"))
     )
     full = full.withColumn("s", F.when((F.length("s") >= 4) & (F.length("mail_surname") > F.length("s")) & (F.col("mail_surname").startswith(F.col("s")) | F.col("mail_surname").endswith(F.col("s"))), F.col("mail_surname")).otherwise(F.col("s")))
-    full = full.select("author_key", "kind", F.col("g").alias("given"), "middle", F.col("s").alias("surname"), "mail", "mail_given", "mail_surname")
+    full = cut(full.select("author_key", "kind", F.col("g").alias("given"), "middle", F.col("s").alias("surname"), "mail", "mail_given", "mail_surname"))
     to = cut(canonical_names(full.unionByName(full.where(whole & from_mail).select("author_key", "kind", F.col("mail_given").alias("given"), "middle", F.col("mail_surname").alias("surname"), "mail", "mail_given", "mail_surname")).where("kind = 'person'").unionByName(_team_names(full)), forms, lex))
     named = cut(full.join(to, ["kind", "given", "surname"], "left"))
     person = named.where("kind = 'person'")
@@ -234,7 +239,7 @@ def nodes(pairs: DataFrame, forms: DataFrame, lex: Lexicon) -> DataFrame:
     middles = (
         person.where("to_given IS NOT NULL AND middle != ''").groupBy(*name).agg(F.countDistinct(F.substring("middle", 1, 1)).alias("n_middles"))
     )
-    split = person.where("to_given IS NOT NULL").join(middles, name, "left")
+    split = cut(person.where("to_given IS NOT NULL").join(middles, name, "left"))
     by_name = split.where("coalesce(n_middles, 0) < 2 OR middle != ''").select(
         "author_key",
         F.concat_ws("|", F.lit("n"), "to_given", "to_surname", F.when(F.col("n_middles") > 1, F.substring("middle", 1, 1)).otherwise("")).alias("node"),
@@ -248,6 +253,7 @@ def nodes(pairs: DataFrame, forms: DataFrame, lex: Lexicon) -> DataFrame:
         .agg(F.countDistinct("to_given").alias("c"), F.min("to_given").alias("the"))
         .where("c = 1")
     )
+    only = cut(only)
     sur = to.where("kind = 'person'").groupBy("surname").agg(F.countDistinct("to_surname").alias("c"), F.min("to_surname").alias("to_s")).where("c = 1").drop("c")
     lone = person.where("to_given IS NULL").select(
         "author_key",
