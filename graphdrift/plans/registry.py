@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import history
+from . import history, scalars
 
 
 def modules() -> list:
-    return [history]
+    return [history, scalars]
