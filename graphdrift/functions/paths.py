@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values of the model.
@@ -167,13 +167,13 @@ def resolve_python_relative(path: Column, name: Column) -> Column:
     return F.when((F.size(parts) > 0) & (up <= dirs) & (F.size(whole) > 0), F.array_join(whole, "/"))
 
 
-def import_target(language: Column, package: Column, path: Column, name: Column, depth: int = 2) -> Column:
-    """Module that an import of a file points to; null for noise, for nothing and for the file's own package."""
-    n = normalize_import(name)
-    target = (
-        F.when((language == "python") & n.startswith("."), package_name(resolve_python_relative(path, n), depth))
-        .when(n.startswith("./") | n.startswith("../"), package_name(resolve_relative(source_dir(path), n), depth))
-        .when(F.contains(n, F.lit("/")), package_name(n, depth))
-        .otherwise(n)
-    )
-    return F.when(~noise_import(name) & (n != "") & (target != "") & (target != package), target)
+def with_import_target(df: DataFrame, language: Column, package: Column, path: Column, name: Column, depth: int = 2) -> DataFrame:
+    """df with `value`, the module that an import points to: null for noise, for nothing and for the file's own package."""
+    kept = df.withColumn("_n", normalize_import(name)).withColumn("_noise", noise_import(name)).withColumn("_l", language).withColumn("_p", package)
+    n = F.col("_n")
+    dotted, relative = (F.col("_l") == "python") & n.startswith("."), n.startswith("./") | n.startswith("../")
+    kept = kept.withColumn("_r", F.when(dotted, resolve_python_relative(path, n)).when(relative, resolve_relative(source_dir(path), n)).otherwise(n))
+    kept = kept.withColumn("_t", F.when(F.coalesce(dotted, F.lit(False)) | F.contains(n, F.lit("/")), package_name(F.col("_r"), depth)).otherwise(n))
+    t = F.col("_t")
+    value = F.when(~F.col("_noise") & (n != "") & (t != "") & (t != F.col("_p")), t)
+    return kept.withColumn("value", value).drop("_n", "_noise", "_l", "_p", "_r", "_t")

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import history, scalars
+from . import history, scalars, store
 
 
 def modules() -> list:
-    return [history, scalars]
+    return [history, scalars, store]

@@ -197,7 +197,7 @@ QUERIES["fn_resolve_relative"] = lambda s, d: _imports(s, d).where("name LIKE '.
 ORACLES["fn_resolve_relative"] = f"SELECT *, {_SQL_RELATIVE.format(n='name')} AS value FROM ({_SQL_IMPORTS}) WHERE name LIKE './%' OR name LIKE '../%'"
 QUERIES["fn_resolve_python_relative"] = lambda s, d: _imports(s, d).where("name LIKE '.%'").withColumn("value", P.resolve_python_relative(F.col("file_path"), F.col("name")))
 ORACLES["fn_resolve_python_relative"] = f"SELECT *, {_SQL_PY.format(n='name')} AS value FROM ({_SQL_IMPORTS}) WHERE name LIKE '.%'"
-QUERIES["fn_import_target"] = lambda s, d: _imports(s, d).withColumn("value", P.import_target(P.detect_language(F.col("file_path")), P.package_name(F.col("file_path")), F.col("file_path"), F.col("name")))
+QUERIES["fn_import_target"] = lambda s, d: P.with_import_target(_imports(s, d), P.detect_language(F.col("file_path")), P.package_name(F.col("file_path")), F.col("file_path"), F.col("name"))
 ORACLES["fn_import_target"] = _sql_target()
 QUERIES["fn_prefix_rule"] = lambda s, d: _pairs(s, d).where(L.prefix_rule(F.col("from_module"), F.col("to_module")))
 ORACLES["fn_prefix_rule"] = f"SELECT * FROM ({_SQL_PAIRS}) WHERE " + " OR ".join(f"(starts_with(from_module, '{a}') AND starts_with(to_module, '{b}'))" for a, b in L.PREFIX_RULES)
