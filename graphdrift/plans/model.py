@@ -88,7 +88,7 @@ def _names(text: str, known) -> list[str]:
 
 def run(s: SparkSession, d: str, text: str, **more: DataFrame) -> DataFrame:
     """The operator text over the base relations of a data directory and the given ones."""
-    args = {n: f(s, d) for n, f in BASE.items() if n in _names(text, BASE)} | {n: more[n] for n in _names(text, more)}
+    args = {n: f(s, d) for n, f in BASE.items() if n in _names(text, BASE) and n not in more} | {n: more[n] for n in _names(text, more)}
     return s.sql(text, **args)
 
 
@@ -106,7 +106,4 @@ def duck(text: str, **more: str) -> str:
     for n in order:
         text, ctes = text.replace("{" + n + "}", n), ctes.replace("{" + n + "}", n)
     text = text.strip()
-    recursive = "RECURSIVE " if "RECURSIVE " in text[:20] or "WITH RECURSIVE" in ctes else ""
-    if text.startswith("WITH "):
-        return f"WITH {recursive}{ctes}, {text[5:].removeprefix('RECURSIVE ')}"
-    return f"WITH {recursive}{ctes} {text}"
+    return f"WITH RECURSIVE {ctes}, {text[5:]}" if text.startswith("WITH ") else f"WITH RECURSIVE {ctes} {text}"

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import history, scalars, store
+from . import graph, history, scalars, store
 
 
 def modules() -> list:
-    return [history, scalars, store]
+    return [history, scalars, store, graph]
