@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import graph, history, scalars, store
+from . import graph, history, scalars, state, store
 
 
 def modules() -> list:
-    return [history, scalars, store, graph]
+    return [history, scalars, store, graph, state]
