@@ -56,14 +56,23 @@ def file_stem(path: Column) -> Column:
 
 def package_name(path: Column, depth: int = 2) -> Column:
     """Package of a file: the child of a workspace root, else up to `depth` directories after one plain root, else the stem."""
-    parts = parts_of(path)
+    return package_of_parts(parts_of(path), depth)
+
+
+def _stem_of_parts(parts: Column) -> Column:
+    name = F.coalesce(F.try_element_at(parts, F.lit(-1)), F.lit(""))
+    return F.regexp_replace(name, r"^(.+)\.[^.]*$", "$1")
+
+
+def package_of_parts(parts: Column, depth: int = 2) -> Column:
+    """package_name of a path that is split already."""
     dirs = F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0)))
     at = F.array_position(F.transform(dirs, lambda x: x.isin(*WORKSPACE_ROOTS)), True).cast("int")
     rest = F.when(F.get(dirs, F.lit(0)).isin(*PLAIN_ROOTS), F.slice(dirs, F.lit(2), F.size(dirs))).otherwise(dirs)
     return (
-        F.when(F.size(parts) <= 1, file_stem(path))
+        F.when(F.size(parts) <= 1, _stem_of_parts(parts))
         .when((at > 0) & (at < F.size(dirs)), F.get(dirs, at))
-        .when(F.size(rest) == 0, file_stem(path))
+        .when(F.size(rest) == 0, _stem_of_parts(parts))
         .otherwise(F.array_join(F.slice(rest, F.lit(1), F.lit(max(depth, 1))), "/"))
     )
 
@@ -157,7 +166,10 @@ def resolve_relative(directory: Column, name: Column) -> Column:
 
 def resolve_python_relative(path: Column, name: Column) -> Column:
     """Module path that a dotted relative import names from a file; null above the root or for nothing."""
-    parts = parts_of(path)
+    return _python_relative(parts_of(path), name)
+
+
+def _python_relative(parts: Column, name: Column) -> Column:
     level = F.length(F.regexp_extract(name, r"^(\.*)", 1))
     up = F.greatest(level - 1, F.lit(0))
     dirs = F.size(parts) - 1
@@ -172,8 +184,10 @@ def with_import_target(df: DataFrame, language: Column, package: Column, path: C
     kept = df.withColumn("_n", normalize_import(name)).withColumn("_noise", noise_import(name)).withColumn("_l", language).withColumn("_p", package)
     n = F.col("_n")
     dotted, relative = (F.col("_l") == "python") & n.startswith("."), n.startswith("./") | n.startswith("../")
-    kept = kept.withColumn("_r", F.when(dotted, resolve_python_relative(path, n)).when(relative, resolve_relative(source_dir(path), n)).otherwise(n))
-    kept = kept.withColumn("_t", F.when(F.coalesce(dotted, F.lit(False)) | F.contains(n, F.lit("/")), package_name(F.col("_r"), depth)).otherwise(n))
+    kept = kept.withColumn("_f", parts_of(path))
+    kept = kept.withColumn("_r", F.when(dotted, _python_relative(F.col("_f"), n)).when(relative, resolve_relative(source_dir(path), n)).otherwise(n))
+    kept = kept.withColumn("_q", parts_of(F.col("_r")))
+    kept = kept.withColumn("_t", F.when(F.coalesce(dotted, F.lit(False)) | F.contains(n, F.lit("/")), package_of_parts(F.col("_q"), depth)).otherwise(n))
     t = F.col("_t")
     value = F.when(~F.col("_noise") & (n != "") & (t != "") & (t != F.col("_p")), t)
-    return kept.withColumn("value", value).drop("_n", "_noise", "_l", "_p", "_r", "_t")
+    return kept.withColumn("value", value).drop("_n", "_noise", "_l", "_p", "_r", "_t", "_f", "_q")
