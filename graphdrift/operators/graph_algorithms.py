@@ -318,3 +318,14 @@ def label_propagation(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         return [(m, first[label[m]]) for m in sorted(v)]
 
     return per_snapshot(edges, nodes, "module_name string, label string", make)
+
+
+def layout(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(snapshot_id, module_name, x, y): a place for every module, the same in every run."""
+
+    def make(v, e):
+        from .clustering import force_layout
+
+        return [(m, round(x, 6), round(y, 6)) for m, (x, y) in sorted(force_layout(v, e).items())]
+
+    return per_snapshot(edges, nodes, "module_name string, x double, y double", make)

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from ..config import Clustering
 from ..operators import graph_algorithms as A
+from ..operators.clustering import architecture_maps
 from ..operators.graph_ops import BLAST_SQL, OPS, SCC_SQL
+from ..operators.scc_native import scc_native
 from .model import duck, edges, nodes, run
 from .runtime import cut
 
@@ -25,6 +30,10 @@ def _graph(text: str):
     return query
 
 
+def _maps(s, d):
+    return architecture_maps(edges(s, d), nodes(s, d))
+
+
 def _algorithm(f):
     return lambda s, d: f(edges(s, d), nodes(s, d))
 
@@ -37,4 +46,11 @@ QUERIES |= {
     "gr_critical_paths": _algorithm(A.critical_paths),
     "gr_layers": _algorithm(A.component_layers),
     "gr_label_propagation": _algorithm(A.label_propagation),
+    "gr_scc_native": lambda s, d: scc_native(cut(edges(s, d)), cut(nodes(s, d))),
+    "cl_build": _algorithm(architecture_maps),
+    "cl_build_structural": lambda s, d: architecture_maps(edges(s, d), nodes(s, d), Clustering(strategy="structural")),
+    "cl_layout_ratio": lambda s, d: _maps(s, d).select("snapshot_id", "cluster", "layer", "x_ratio", "y_ratio").distinct(),
+    "cl_unique_names": lambda s, d: _maps(s, d).groupBy("snapshot_id", "cluster").agg(F.count("*").alias("n_members")),
+    "ly_force": _algorithm(A.layout),
 }
+ORACLES["gr_scc_native"] = ORACLES["gr_scc"]
