@@ -273,6 +273,9 @@ def nodes(pairs: DataFrame, forms: DataFrame, lex: Lexicon) -> DataFrame:
     # an address that runs the canonical name together
     run = split.where("coalesce(n_middles, 0) < 2").select("author_key", F.concat("to_given", "to_surname").alias("run"))
     joined = person.where("mail IS NOT NULL").select("author_key", F.regexp_replace(F.substring_index("mail", "@", 1), "[^a-z]", "").alias("run"))
+    # and a name whose parts stand the other way round, where no lexicon tells
+    turned = split.select("author_key", F.concat("to_surname", "to_given").alias("run"))
+    joined = joined.unionByName(turned)
     by_run = joined.where("length(run) >= 9").join(run.select("run").distinct(), "run").unionByName(run.select("run", "author_key"))
     by_run = by_run.select("author_key", F.concat_ws("|", F.lit("r"), "run").alias("node"))
     return by_name.unionByName(by_run).unionByName(by_initial).unionByName(by_mail).unionByName(team).distinct()
