@@ -133,3 +133,15 @@ def extract(files: DataFrame, key: list[str], language: str, text: str, blob: st
     parsed = once.mapInArrow(run, "_l string, _b string, imports array<string>")
     joined = own.drop("_t").join(parsed, (own["_l"].eqNullSafe(parsed["_l"])) & (own["_b"].eqNullSafe(parsed["_b"])), "left")
     return joined.select(*key, F.coalesce("imports", F.array().cast("array<string>")).alias("imports"))
+
+
+def register_table_function(spark) -> None:
+    """module_imports(text, language): a SQL table function with one row (import_name) for each import."""
+    from pyspark.sql.functions import udtf
+
+    class ModuleImports:
+        def eval(self, text: str, language: str):
+            for name in parse_imports(language, text):
+                yield (name,)
+
+    spark.udtf.register("module_imports", udtf(ModuleImports, returnType="import_name: string"))

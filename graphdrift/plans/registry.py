@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import events, extraction, graph, history, scalars, state, store
+from . import events, extraction, extras, graph, history, scalars, state, store
 
 
 def modules() -> list:
-    return [history, scalars, store, graph, state, extraction, events]
+    return [history, scalars, store, graph, state, extraction, events, extras]

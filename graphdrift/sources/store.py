@@ -6,12 +6,13 @@ repository and can be repeated. Tables whose columns don't match the schema are
 
 from __future__ import annotations
 
-import os
-import shutil
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.runtime import cut
+
 SCHEMAS = {
     "repositories": "repo_id string, repo_root string",
     "commits": "repo_id string, hash string, scan_order bigint, author_name string, author_email string, message string, commit_ts bigint, tree_id string",
@@ -31,21 +32,32 @@ KEYS = {
 
 
 class Store:
+    """The tables under a folder of any file system that Spark reads."""
+
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root
-        os.makedirs(root, exist_ok=True)
+        self.spark, self.root = spark, root.rstrip("/")
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
+    def _fs(self, folder: str):
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+
+    def _exists(self, folder: str) -> bool:
+        fs, path = self._fs(folder)
+        return fs.exists(path)
+
     def read(self, name: str) -> DataFrame:
-        """The table, empty if it was never written."""
+        """The table, empty if it was never written; one whose columns differ from the schema is set aside."""
         schema = self.spark.createDataFrame([], SCHEMAS[name]).schema
-        if not os.path.isdir(self.path(name)):
+        if not self._exists(self.path(name)):
             return self.spark.createDataFrame([], schema)
         have = self.spark.read.parquet(self.path(name))
         if set(have.columns) != set(schema.names):
-            shutil.move(self.path(name), f"{self.path(name)}.old-{abs(hash(tuple(have.columns))):x}")
+            fs, path = self._fs(self.path(name))
+            fs.rename(path, self._fs(f"{self.path(name)}.old-{uuid.uuid4().hex[:8]}")[1])
             return self.spark.createDataFrame([], schema)
         return have.select(schema.names)
 
@@ -71,18 +83,12 @@ class Store:
 
     def clear(self, repo_id: str, names: tuple[str, ...] = ("commits", "frames", "checkpoints", "scan_state")) -> None:
         """Drop one repository's rows."""
+        escaped = self.spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(repo_id)
         for name in names:
-            have = self.read(name)
-            folder = f"{self.path(name)}/repo_id={self._escaped(have, repo_id)}"
-            if os.path.isdir(folder):
-                shutil.rmtree(folder)
-
-    def _escaped(self, _df: DataFrame, value: str) -> str:
-        jvm = self.spark.sparkContext._jvm
-        return jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(value)
+            fs, path = self._fs(f"{self.path(name)}/repo_id={escaped}")
+            if fs.exists(path):
+                fs.delete(path, True)
 
     def _replace(self, name: str, rows: DataFrame) -> None:
-        from ..plans.runtime import cut
-
         whole = cut(rows)  # the rows come from the folder that is written
         whole.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repo_id").parquet(self.path(name))

@@ -1,7 +1,9 @@
 import subprocess
 
 import pytest
+from pyspark.sql import functions as F
 
+from graphdrift.functions.imports import register_table_function
 from graphdrift.sources.git import read_blobs, register, repo_root
 from graphdrift.sources.store import Store
 from graphdrift.streaming import incremental as I
@@ -56,6 +58,14 @@ def test_store(spark, tmp_path):
     st.clear("/r:1")
     assert {r["repo_id"] for r in st.read("commits").collect()} == {"/other"}
     assert st.read("frames").count() == 0
+    spark.range(1).withColumn("repo_id", F.lit("old")).write.parquet(st.path("frames"))
+    assert st.read("frames").count() == 0 and st.read("frames").columns[0] == "repo_id"
+
+
+def test_table_function(spark):
+    register_table_function(spark)
+    rows = spark.sql("""SELECT import_name FROM module_imports('import a\nimport b.c', 'python')""").collect()
+    assert [r[0] for r in rows] == ["a", "b"]
 
 
 CHANGE = "repo_id string, path string, seq bigint, op string, package_name string, targets array<string>"
