@@ -25,8 +25,8 @@ from .name_parse import TEAM_WORDS, Lexicon, address, fold, parse_local, parse_n
 
 #: Share of pairs, and least number, that hold a word of the lexicon; bounds it by the words a name has over the share.
 LEXICON_SHARE, LEXICON_LEAST = 1e-4, 3
-#: Domains under which a two-word local part must occur to name a team's function.
-FUNCTION_DOMAINS = 3
+#: Least number, and share, of all domains under which a two-word local part must occur to name a team's function.
+FUNCTION_DOMAINS, FUNCTION_SHARE = 3, 2e-3
 _BOTS = r"(?i)\[bot\]|@bots\.|^unknown$"
 
 
@@ -60,7 +60,9 @@ def lexicon(pairs: DataFrame, forms: DataFrame) -> Lexicon:
             yield pd.DataFrame(out, columns=["word", "place", "domain"])
 
     least = max(LEXICON_LEAST, int(pairs.count() * LEXICON_SHARE))
-    seen = pairs.select("author_name", "author_email").mapInPandas(words, "word string, place string, domain string")
+    seen = cut(pairs.select("author_name", "author_email").mapInPandas(words, "word string, place string, domain string"))
+    domains = seen.where("domain != ''").agg(F.countDistinct("domain")).first()[0]
+    spread = max(FUNCTION_DOMAINS, int(domains * FUNCTION_SHARE))
     counts = (
         seen.groupBy("word")
         .agg(
@@ -68,12 +70,12 @@ def lexicon(pairs: DataFrame, forms: DataFrame) -> Lexicon:
             F.count_if(F.col("place") == "last").alias("last"),
             F.countDistinct(F.when(F.col("place") == "local", F.col("domain"))).alias("domains"),
         )
-        .where((F.col("first") >= least) | (F.col("domains") >= FUNCTION_DOMAINS))
-        .collect()  # at most 2 / LEXICON_SHARE words and as many local parts
+        .where((F.col("first") >= least) | (F.col("domains") >= spread))
+        .collect()  # at most 2 / LEXICON_SHARE words, and the addresses of a domain / FUNCTION_SHARE local parts
     )
     known = {fold(x) for r in forms.collect() for x in r if x}  # name_forms is a list that doesn't grow
     given = {r["word"] for r in counts if r["first"] >= least and r["first"] > 2 * r["last"]} | known
-    pairs_of = [r["word"].split(" ") for r in counts if r["domains"] >= FUNCTION_DOMAINS]
+    pairs_of = [r["word"].split(" ") for r in counts if r["domains"] >= spread]
     functions = TEAM_WORDS | {w for ws in pairs_of if not (set(ws) & given) for w in ws}
     return Lexicon(given - functions, functions)
 
