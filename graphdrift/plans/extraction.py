@@ -19,7 +19,8 @@ def _imports(s, d):
 def _targets(s, d):
     each = _imports(s, d).select("file_id", "file_path", "language", F.explode("imports").alias("name"))
     found = P.with_import_target(each, F.col("language"), P.package_name(F.col("file_path")), F.col("file_path"), F.col("name"))
-    return found.where("value IS NOT NULL").groupBy("file_id", F.col("value").alias("target")).agg(F.count("*").alias("weight"))
+    # a filter on `value` itself would be pushed through all steps and repeat their expressions
+    return found.groupBy("file_id", F.col("value").alias("target")).agg(F.count("value").alias("weight")).where("weight > 0")
 
 
 def _blobs(s, d):
