@@ -329,3 +329,19 @@ def layout(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         return [(m, round(x, 6), round(y, 6)) for m, (x, y) in sorted(force_layout(v, e).items())]
 
     return per_snapshot(edges, nodes, "module_name string, x double, y double", make)
+
+
+def longest_distance(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(snapshot_id, scc_id, distance): the greatest total weight of a path of components that ends in each component."""
+
+    def make(v, e):
+        comp, links = condensed(v, e)
+        best = dict.fromkeys(sorted(set(comp.values())), 0)
+        into = defaultdict(list)
+        for (a, b), w in links.items():
+            into[b].append((a, w))
+        for c in _topological(set(best), links):
+            best[c] = max([0, *(best[a] + w for a, w in into[c])])
+        return list(best.items())
+
+    return per_snapshot(edges, nodes, "scc_id string, distance bigint", make)

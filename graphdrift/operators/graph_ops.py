@@ -137,3 +137,14 @@ BLAST_SQL = {
     "hits": "SELECT x.snapshot_id, x.target, x.node, x.d, max(e.weight) AS w FROM {dist} x JOIN {edges} e ON e.snapshot_id = x.snapshot_id AND e.from_module = x.node JOIN {dist} y ON y.snapshot_id = x.snapshot_id AND y.target = x.target AND y.node = e.to_module AND y.d = x.d - 1 WHERE x.d > 0 GROUP BY 1, 2, 3, 4",
     "blast": "SELECT n.snapshot_id, n.module_name, count(h.node) AS downstream_count, coalesce(sum(ln(1.0 + h.w) / ((1 + h.d) * (1 + h.d))), 0) AS weighted_reach, CASE WHEN count(*) OVER (PARTITION BY n.snapshot_id) > 1 THEN least(1.0, coalesce(sum(ln(1.0 + h.w) / ((1 + h.d) * (1 + h.d))), 0) / (count(*) OVER (PARTITION BY n.snapshot_id) - 1)) ELSE 0.0 END AS score FROM {nodes} n LEFT JOIN {hits} h ON h.snapshot_id = n.snapshot_id AND h.target = n.module_name GROUP BY n.snapshot_id, n.module_name",
 }
+PATH_SQL = {
+    "links": OPS["gr_condense"],
+    "steps": "SELECT DISTINCT snapshot_id, scc_id, 0 AS level FROM {scc} UNION SELECT s.snapshot_id, l.to_scc, s.level + 1 FROM steps s JOIN {links} l ON l.snapshot_id = s.snapshot_id AND l.from_scc = s.scc_id",
+    "sums": "SELECT DISTINCT snapshot_id, scc_id, 0::BIGINT AS total FROM {scc} UNION SELECT s.snapshot_id, l.to_scc, s.total + l.weight FROM sums s JOIN {links} l ON l.snapshot_id = s.snapshot_id AND l.from_scc = s.scc_id",
+}
+PATH_ORACLES = {
+    "gr_layers": "SELECT c.snapshot_id, c.module_name, max(s.level)::BIGINT AS layer FROM {scc} c JOIN {steps} s ON s.snapshot_id = c.snapshot_id AND s.scc_id = c.scc_id GROUP BY 1, 2",
+    "gr_longest_distance": "SELECT snapshot_id, scc_id, max(total)::BIGINT AS distance FROM {sums} GROUP BY 1, 2",
+    "gr_blast_single": """WITH t AS (SELECT snapshot_id, to_module, row_number() OVER (PARTITION BY snapshot_id ORDER BY count(*) DESC, to_module) AS r FROM {edges} GROUP BY 1, 2)
+        SELECT h.snapshot_id, h.target, h.node AS module_name, h.d::BIGINT AS distance, ln(1.0 + h.w) / ((1 + h.d) * (1 + h.d)) AS impact FROM {hits} h JOIN t ON t.snapshot_id = h.snapshot_id AND t.to_module = h.target AND t.r = 1""",
+}

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from ..config import Clustering
 from ..operators import graph_algorithms as A
 from ..operators.clustering import architecture_maps
-from ..operators.graph_ops import BLAST_SQL, OPS, SCC_SQL
+from ..operators.graph_ops import BLAST_SQL, OPS, PATH_ORACLES, PATH_SQL, SCC_SQL
 from ..operators.scc_native import scc_native
 from .model import duck, edges, nodes, run
 from .runtime import cut
 
-_MORE = SCC_SQL | BLAST_SQL
+_MORE = SCC_SQL | BLAST_SQL | PATH_SQL
 
 
 def _graph(text: str):
@@ -44,6 +44,7 @@ QUERIES |= {
     "gr_blast_single": _algorithm(A.blast_single),
     "gr_articulation": _algorithm(A.articulation),
     "gr_critical_paths": _algorithm(A.critical_paths),
+    "gr_longest_distance": _algorithm(A.longest_distance),
     "gr_layers": _algorithm(A.component_layers),
     "gr_label_propagation": _algorithm(A.label_propagation),
     "gr_scc_native": lambda s, d: scc_native(cut(edges(s, d)), cut(nodes(s, d))),
@@ -54,3 +55,4 @@ QUERIES |= {
     "ly_force": _algorithm(A.layout),
 }
 ORACLES["gr_scc_native"] = ORACLES["gr_scc"]
+ORACLES |= {n: duck(t, **_MORE) for n, t in PATH_ORACLES.items()}
