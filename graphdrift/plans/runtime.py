@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,3 +49,21 @@ def lookup(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if at_most(df, rows) else df
 
 
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this package: adds it to the session as an archive, once, unless they find it anyway by
+    PYTHONPATH or their working folder."""
+    root = Path(__file__).resolve().parents[2]
+    found = [Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root in found or Path.cwd() == root or spark.sparkContext.applicationId in _SHIPPED:
+        return
+    archive = Path(tempfile.mkdtemp(prefix="graphdrift-")) / "graphdrift.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted((root / "graphdrift").rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    spark.sparkContext.addPyFile(str(archive))
+    _SHIPPED.add(spark.sparkContext.applicationId)
