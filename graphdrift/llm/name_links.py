@@ -4,8 +4,8 @@
    lexicon of frequent words counted over the table.
 2. Segment join: surnames (and organisations) within k edits share one of the k+1 segments of the shorter one at a
    shifted place (pigeonhole). Segments of every distinct word form an inverted index, substrings of every word at the
-   shifts that k edits allow look them up, and a banded edit distance verifies. Given names are joined the same way within
-   one surname, so that a surname which many people share makes no pairs of its own.
+   shifts that k edits allow look them up, and a banded edit distance verifies. Short words, which are allowed one edit or
+   none, are also joined with two neighbouring letters swapped. Given names are joined the same way within one surname, so that a surname which many people share makes no pairs of its own.
 3. Each variant word points to the nearest, most frequent word with the same other part, so every pair comes to a canonical
    name. Canonical names that carry different middle initials are split by them.
 4. Pairs that share a canonical name, or an address that is its owner's own by the look of it, are connected; connected
@@ -25,6 +25,8 @@ from .name_parse import TEAM_WORDS, Lexicon, address, fold, parse_local, parse_n
 
 #: Share of pairs, and least number, that hold a word of the lexicon; bounds it by the words a name has over the share.
 LEXICON_SHARE, LEXICON_LEAST = 1e-4, 3
+#: Least and greatest number of letters of words of which two neighbouring ones may be swapped, as one edit.
+SWAPPED = (3, 5)
 #: Least number, and share, of all domains under which a two-word local part must occur to name a team's function.
 FUNCTION_DOMAINS, FUNCTION_SHARE = 3, 2e-3
 _BOTS = r"(?i)\[bot\]|@bots\.|^unknown$"
@@ -163,6 +165,22 @@ def segment_join(words: DataFrame, word: str, within: list[str] | None = None) -
     return cut(both.groupBy(*within, "a", "b").agg(F.min("dist").alias("dist")))
 
 
+def swap_join(words: DataFrame, word: str, within: list[str]) -> DataFrame:
+    """(within..., a, b, dist): all pairs of distinct words of SWAPPED letters that differ by two neighbouring letters swapped,
+    in either order; this counts as one edit. Longer words allow the two plain edits that it takes."""
+    turned = "transform(sequence(1, length(a) - 1), i -> concat(substr(a, 1, i - 1), substr(a, i + 1, 1), substr(a, i, 1), substr(a, i + 2)))"
+    short = words.where(F.length(word).between(*SWAPPED)).select(*within, F.col(word).alias("a"))
+    forms = short.select(*within, "a", F.explode(F.array_distinct(F.expr(turned))).alias("b")).where("a != b")
+    return forms.join(short.withColumnRenamed("a", "b"), [*within, "b"]).select(*within, "a", "b", F.lit(1).alias("dist"))
+
+
+def near_words(words: DataFrame, word: str, within: list[str] | None = None) -> DataFrame:
+    """(within..., a, b, dist): segment_join and swap_join of the same words, with the smaller distance."""
+    within = within or []
+    both = segment_join(words, word, within).unionByName(swap_join(words, word, within))
+    return cut(both.groupBy(*within, "a", "b").agg(F.min("dist").alias("dist")))
+
+
 def _nearest(cand: DataFrame, source: list[str], target: list[str]) -> DataFrame:
     """The row of the nearest, most frequent target for each source; `even` says that another one is as near."""
     w = Window.partitionBy(*source)
@@ -176,7 +194,7 @@ def canonical_names(people: DataFrame, forms: DataFrame, lex: Lexicon) -> DataFr
     """(kind, given, surname, to_given, to_surname): for each name with both parts, the name it is a variant of or itself."""
     names = cut(people.where("length(given) > 1 AND length(surname) > 1").groupBy("kind", "given", "surname").agg(F.count("*").alias("n")))
     # surname: the same given name with a surname within some edits that is more frequent
-    near = segment_join(names.select("surname").distinct(), "surname")
+    near = near_words(names.select("surname").distinct(), "surname")
     n_b = names.select("kind", "given", F.col("surname").alias("b"), F.col("n").alias("n_b"))
     freq = names.groupBy("surname").agg(F.sum("n").alias("s"))
     alt = forms.select(F.col("a").alias("given"), F.col("b").alias("g_b")).unionByName(names.select("given", F.col("given").alias("g_b"))).distinct()
@@ -196,7 +214,7 @@ def canonical_names(people: DataFrame, forms: DataFrame, lex: Lexicon) -> DataFr
     step = cut(step.join(s2, ["kind", "given", "sur1"], "left").withColumn("sur", F.coalesce("sur2", "sur1")))
     # given name: within one surname, forms of one name or within some edits
     g = cut(step.where("kind = 'person'").groupBy(F.col("sur").alias("surname"), "given").agg(F.sum("n").alias("n")))
-    g_near = segment_join(g.select("surname", "given"), "given", ["surname"])
+    g_near = near_words(g.select("surname", "given"), "given", ["surname"])
     pair = forms.select("a", "b").distinct()
     g_b = g.select("surname", F.col("given").alias("b"), F.col("n").alias("n_b"))
     short = g.join(pair.withColumnRenamed("a", "given"), "given").join(g_b, ["surname", "b"]).select("surname", "given", "b", F.lit(0).alias("dist"), "n_b")

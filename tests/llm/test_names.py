@@ -60,6 +60,16 @@ def test_people_and_teams(spark):
     assert pairs == {p for g in GROUPS for p in itertools.combinations(sorted(g), 2)}
 
 
+def test_swapped_letters_in_short_names(spark):
+    people = [
+        (412, "Priay Kugrikacroft", "priya@dev-607.lan.example"), (152, "Priya Kugrikacroft", "a@one.example"), (158, "Priya Kugrikacroft", None),
+        (20, "Amina Lien", None), (21, "Amina Lien", "x@two.example"), (22, "Amina Line", None), (30, "Aiko Tostegrorrow", None), (31, "Aiko Tostegrorrow", "y@two.example"), (32, "Akio Tostegrorrow", None), (33, "Kaoi Tostegrorrow", None),
+    ]
+    rows = [(*p, "l", "n") for p in people]
+    pairs = {tuple(r) for r in author_pairs(same_authors(spark.createDataFrame(rows, COMMIT), spark.createDataFrame([], FORM))).collect()}
+    assert pairs == {p for g in ({152, 158, 412}, {20, 21, 22}, {30, 31, 32}) for p in itertools.combinations(sorted(g), 2)}
+
+
 def test_empty(spark):
     assert author_pairs(same_authors(spark.createDataFrame([], COMMIT), spark.createDataFrame([], FORM))).collect() == []
 
