@@ -1,10 +1,11 @@
 """Per-key work without a few keys dominating the run: fragment-replicate by estimated load.
 
 1. The load of each key is estimated from a fixed fraction of the rows, combined map-side.
-2. Keys above one task's fair share are split into proportionate shards; all others fall into `BUCKETS_PER_TASK` hash
-   buckets per task. Shards and buckets are bin-packed to tasks, largest first onto the least loaded one. At most one key
-   per fair share can be large and buckets are a fixed number, so the plan is bounded by the number of tasks, not the data.
-3. Rows of a large key go to its shards in turn, the matching side is replicated to those shards only, and both sides are
+2. Keys above a fair share of a task are split into proportionate shards, keys above 1/BUCKETS_PER_TASK of it are packed as
+   they are, and all others fall into `BUCKETS_PER_TASK` hash buckets per task. Shards, keys and buckets are bin-packed to
+   tasks, largest first onto the least loaded one. The plan has at most 2 * BUCKETS_PER_TASK rows per task, whatever the
+   data, and is broadcast as two small tables.
+3. Rows of a split key go to its shards in turn, the matching side is replicated to those shards only, and both sides are
    shuffled straight to the packed task ids. Results per shard are merged per key at the end.
 
 The estimate only steers placement: any estimate gives the same result.
@@ -14,7 +15,7 @@ from __future__ import annotations
 
 import heapq
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.runtime import cut
@@ -35,32 +36,31 @@ def pack(loads: list[tuple[object, float]], tasks: int) -> dict[object, int]:
 
 
 class LoadPlan:
-    """Where rows of a key column go. `large`: key -> tasks of its shards; `bucket_task`: task of each light bucket."""
+    """Where rows of a key column go. `own`: key -> tasks of its shards, for keys packed by themselves; `bucket_task`: task of
+    each bucket of the other keys."""
 
-    def __init__(self, tasks: int, large: dict[str, list[int]], bucket_task: list[int]):
-        self.tasks, self.large, self.bucket_task = tasks, large, bucket_task
+    def __init__(self, tasks: int, own: dict[str, list[int]], bucket_task: list[int]):
+        self.tasks, self.own, self.bucket_task = tasks, own, bucket_task
 
-    def _bucket(self, key: Column) -> Column:
-        bucket = F.pmod(F.xxhash64(key), F.lit(len(self.bucket_task)))
-        return F.get(F.array(*[F.lit(t) for t in self.bucket_task]), bucket.cast("int"))
-
-    def _shards(self, df: DataFrame, key: str) -> DataFrame:
-        """df with `_shards`, the tasks of a large key, else null; keys with one entry per task at most are broadcast."""
+    def _placed(self, df: DataFrame, key: str) -> DataFrame:
+        """df with `_shards`, the tasks of the key's shards or of its bucket."""
         spark = df.sparkSession
-        rows = [(k, ts) for k, ts in self.large.items()]
-        plan = spark.createDataFrame(rows, f"`{key}` string, _shards array<int>")
-        return df.join(F.broadcast(plan), key, "left")
+        keys = spark.createDataFrame(list(self.own.items()), f"`{key}` string, _own array<int>")
+        buckets = spark.createDataFrame([(i, [t]) for i, t in enumerate(self.bucket_task)], "_bucket bigint, _of_bucket array<int>")
+        out = df.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(len(self.bucket_task))).cast("bigint"))
+        out = out.join(F.broadcast(buckets), "_bucket").join(F.broadcast(keys), key, "left")
+        return out.withColumn("_shards", F.coalesce("_own", "_of_bucket")).drop("_bucket", "_of_bucket", "_own")
 
     def fragment(self, df: DataFrame, key: str) -> DataFrame:
-        """df with `_task`; the rows of a large key take its shards in turn."""
-        turn = F.pmod(F.monotonically_increasing_id(), F.size("_shards").cast("bigint")).cast("int")
-        task = F.when(F.col("_shards").isNotNull(), F.get("_shards", turn)).otherwise(self._bucket(F.col(key)))
-        return self._shards(df, key).withColumn("_task", task).drop("_shards").repartitionById(self.tasks, F.col("_task"))
+        """df with `_task`; the rows of a split key take its shards in turn, those with a null key all tasks in turn."""
+        turn = F.monotonically_increasing_id()
+        shard = F.get("_shards", F.pmod(turn, F.size("_shards").cast("bigint")).cast("int"))
+        task = F.when(F.col(key).isNull(), F.pmod(turn, F.lit(self.tasks)).cast("int")).otherwise(shard)
+        return self._placed(df, key).withColumn("_task", task).drop("_shards").repartitionById(self.tasks, F.col("_task"))
 
     def replicate(self, df: DataFrame, key: str) -> DataFrame:
-        """df with `_task`; each row of a large key once for every task that holds a shard of it."""
-        tasks = F.coalesce("_shards", F.array(self._bucket(F.col(key))))
-        out = self._shards(df, key).withColumn("_task", F.explode(F.array_distinct(tasks))).drop("_shards")
+        """df with `_task`; each row of a split key once for every task that holds a shard of it."""
+        out = self._placed(df, key).withColumn("_task", F.explode("_shards")).drop("_shards")
         return out.repartitionById(self.tasks, F.col("_task"))
 
 
@@ -72,23 +72,27 @@ def plan_loads(df: DataFrame, key: str, tasks: int | None = None, fraction: floa
         df.where(F.col(key).isNotNull()).select(key).sample(fraction=fraction, seed=7).groupBy(key).agg(F.count("*").alias("n"))
     )
     loads = cut(loads)
-    share = (loads.agg(F.sum("n")).first()[0] or 0) / tasks
-    big = {r[0]: r[1] for r in loads.where(F.col("n") > max(share, 1.0)).collect()}  # fewer than `tasks` keys exceed a fair share
+    share = max((loads.agg(F.sum("n")).first()[0] or 0) / tasks, 1.0)
+    least = share / BUCKETS_PER_TASK
+    own = {r[0]: r[1] for r in loads.where(F.col("n") > least).collect()}  # fewer than n_buckets keys exceed this
     light = (
-        loads.where(F.col("n") <= max(share, 1.0))
+        loads.where(F.col("n") <= least)
         .groupBy(F.pmod(F.xxhash64(key), F.lit(n_buckets)).cast("int").alias("b"))
         .agg(F.sum("n").alias("n"))
         .collect()  # at most n_buckets rows
     )
     items: list[tuple[object, float]] = []
-    for k, n in big.items():
-        pieces = -(-n // max(int(share), 1))
-        items += [((k, i), n / pieces) for i in range(min(int(pieces), tasks))]
+    for k, n in own.items():
+        pieces = min(-(-n // int(share)), tasks)
+        items += [((k, i), n / pieces) for i in range(pieces)]
     by_bucket = {r["b"]: r["n"] for r in light}
     items += [(b, float(by_bucket.get(b, 0))) for b in range(n_buckets)]
     placed = pack(items, tasks)
-    large = {k: sorted({placed[x] for x, _ in items if isinstance(x, tuple) and x[0] == k}) for k in big}
-    return LoadPlan(tasks, large, [placed[b] for b in range(n_buckets)])
+    shards: dict[str, set[int]] = {k: set() for k in own}
+    for item, task in placed.items():
+        if isinstance(item, tuple):
+            shards[item[0]].add(task)
+    return LoadPlan(tasks, {k: sorted(ts) for k, ts in shards.items()}, [placed[b] for b in range(n_buckets)])
 
 
 def fragment_replicate_join(

@@ -4,6 +4,15 @@ from graphdrift.operators.balanced import fragment_replicate_join, pack, plan_lo
 from graphdrift.operators.module_load import hot_modules, module_totals
 
 
+def test_keys_near_a_share_are_packed_one_by_one(spark):
+    """Eight keys of nearly a task's share each, which hash buckets would throw together, go to eight tasks."""
+    fact = spark.createDataFrame([(f"k{i}", j) for i in range(8) for j in range(900)] + [(None, j) for j in range(800)], "k string, v bigint")
+    plan = plan_loads(fact, "k", tasks=8, fraction=1.0)
+    assert sorted(t for ts in plan.own.values() for t in ts[:1]) == list(range(8))
+    per_task = Counter(r["_task"] for r in plan.fragment(fact, "k").select("_task").collect())
+    assert sum(per_task.values()) == fact.count() and max(per_task.values()) < 1.3 * fact.count() / 8
+
+
 def test_pack_balances():
     placed = pack([(i, float(w)) for i, w in enumerate([9, 5, 4, 3, 3, 2, 1, 1])], 4)
     loads = Counter()
@@ -17,7 +26,7 @@ def test_large_key_is_split_and_result_whole(spark):
     fact = spark.createDataFrame(rows, "k string, v bigint")
     side = spark.createDataFrame([("hot", "h"), ("k1", "a"), ("k1", "b"), ("nobody", "n"), (None, "z")], "k string, name string")
     plan = plan_loads(fact, "k", tasks=8)
-    assert len(plan.large["hot"]) >= 4
+    assert len(plan.own["hot"]) >= 4 and len(plan.own) < 8 * 8
     got = Counter((r["k"], r["v"], r["name"]) for r in fragment_replicate_join(fact, side, "k", "left", plan).collect())
     names = {"hot": ["h"], "k1": ["a", "b"]}
     want = Counter((k, v, n) for k, v in rows for n in names.get(k, [None]))
