@@ -3,8 +3,11 @@
 A worker cuts the texts of its partition into segments that begin where white space follows a non-space, a place that no
 token of the pre-tokenizer spans, and numbers distinct segments. Only words that occur in distinct segments and are no
 token by themselves go to DuckDB: their bytes become token-position rows, and a recursive query joins neighbouring tokens
-with the merge table and contracts each word's minimum-rank pair, leftmost occurrences first, until no pair can merge. An
-ordered aggregation reads the ids of a word by position. Texts are then put together from the ids of their segments by
+with the merge table and contracts pairs, leftmost first among equal ranks, until no pair can merge. The minimum-rank pair is
+not the only one that a round contracts: if no merge up to rank t makes a token that takes part in another merge up to t, then
+the order of these merges matters only where they overlap, so all pairs up to the greatest such t that rank below the pairs
+they overlap are contracted at once. That gives the same ids in tens of rounds where single ranks take thousands. Rows are
+keyed by word and position, so that only the present state is kept, and a round writes what it changed. An ordered aggregation reads the ids of a word. Texts are then put together from the ids of their segments by
 array arithmetic. There is no shuffle; state per worker is bounded by MAX_SEGMENTS and MAX_CHARS.
 """
 
@@ -27,25 +30,28 @@ MAX_SEGMENTS = 400_000
 MAX_CHARS = 24_000_000
 
 _CONTRACT = """
-WITH RECURSIVE step(w, pos, id, done) AS (
-  SELECT w, pos, id, false FROM start
-  UNION ALL
+WITH RECURSIVE step(w, pos, id) USING KEY (w, pos) AS (
+  SELECT w, pos, id FROM start
+  UNION
   (WITH tokens AS (
-     SELECT w, pos, id, lead(id) OVER o AS next, lag(id) OVER o AS prev, row_number() OVER o AS nth
-     FROM step WHERE NOT done WINDOW o AS (PARTITION BY w ORDER BY pos)),
-   low AS (
-     SELECT w, min(rank) AS rank FROM tokens LEFT JOIN merges ON l = id AND r = next GROUP BY w),
-   aims AS (
-     SELECT t.*, m.l, m.r, m.merged, id = m.l AND coalesce(next = m.r, false) AS hit, id = m.r AND coalesce(prev = m.l, false) AS hit_before
-     FROM tokens t JOIN low ON low.w = t.w LEFT JOIN merges m ON m.rank = low.rank)
-   SELECT w, pos, id, true FROM aims WHERE l IS NULL
-   UNION ALL
-   SELECT w, pos, CASE WHEN hit THEN merged ELSE id END, false FROM aims WHERE l <> r AND NOT hit_before
-   UNION ALL
-   SELECT w, pos, CASE WHEN hit THEN merged ELSE id END, false
-   FROM (SELECT *, max(CASE WHEN hit AND NOT hit_before THEN nth END) OVER (PARTITION BY w ORDER BY nth) AS run FROM aims WHERE l = r)
-   WHERE NOT (hit_before AND (nth - run) % 2 = 1)))
-SELECT w, list(id ORDER BY pos) AS ids FROM step WHERE done GROUP BY w ORDER BY w
+     SELECT w, pos, id, lead(id) OVER (PARTITION BY w ORDER BY pos) AS next FROM recurring.step WHERE id IS NOT NULL AND w IN (SELECT w FROM step)),
+   pairs AS (
+     SELECT w, pos, id, rank, merged, used FROM tokens LEFT JOIN merges ON l = id AND r = next),
+   bounds AS (
+     SELECT w, max(rank) AS top FROM (
+       SELECT w, rank, min(used) OVER (PARTITION BY w ORDER BY rank) AS first_used FROM (SELECT DISTINCT w, rank, used FROM pairs WHERE rank IS NOT NULL))
+     WHERE rank < first_used GROUP BY w),
+   near AS (
+     SELECT w, pos, id, merged, aim, lag(aim) OVER o AS before, lead(aim) OVER o AS after, row_number() OVER o AS nth
+     FROM (SELECT p.*, CASE WHEN rank <= top THEN rank END AS aim FROM pairs p JOIN bounds b ON b.w = p.w)
+     WINDOW o AS (PARTITION BY w ORDER BY pos)),
+   runs AS (
+     SELECT *, max(CASE WHEN aim IS NOT NULL AND before IS DISTINCT FROM aim THEN 2 * nth + CASE WHEN coalesce(before > aim, true) THEN 1 ELSE 0 END END)
+       OVER (PARTITION BY w ORDER BY pos) AS run FROM near),
+   hits AS (
+     SELECT w, pos, id, merged, coalesce(run % 2 = 1 AND (nth - run // 2) % 2 = 0 AND coalesce(after >= aim, true) AND aim IS NOT NULL, false) AS hit FROM runs)
+   SELECT w, pos, CASE WHEN hit THEN merged END FROM (SELECT *, lag(hit) OVER (PARTITION BY w ORDER BY pos) AS eaten FROM hits) WHERE hit OR eaten))
+SELECT w, list(id ORDER BY pos) AS ids FROM step WHERE id IS NOT NULL GROUP BY w ORDER BY w
 """
 
 
@@ -87,13 +93,19 @@ class Encoder:
         self.words = regex.compile(
             rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{white}\p{{L}}\p{{N}}]+|[{white}]+(?![^{white}])|[{white}]+"
         ).findall
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        # nothing is spilled to a folder of the machine
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "1GB", "temp_directory": ""})
+        used: dict[int, int] = {}  # the first merge that a token takes part in
+        for rank, (a, b) in enumerate(pairs):
+            used.setdefault(vocab[a], rank)
+            used.setdefault(vocab[b], rank)
         merges = pa.table(
             {
                 "l": pa.array([vocab[a] for a, _ in pairs], pa.int32()),
                 "r": pa.array([vocab[b] for _, b in pairs], pa.int32()),
                 "rank": pa.array(range(len(pairs)), pa.int32()),
                 "merged": pa.array([vocab[a + b] for a, b in pairs], pa.int32()),
+                "used": pa.array([used.get(vocab[a + b], len(pairs)) for a, b in pairs], pa.int32()),
             }
         )
         self.db.register("merges_file", merges)

@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from tokenizers import Tokenizer
@@ -31,6 +32,25 @@ def test_ids_equal_the_public_tokenizer(spark, reference):
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0, list(r["ids"])) for r in got) == sorted((i is None, i or 0, reference(t or "")) for i, t, *_ in rows)
 
 
+def test_very_long_words(reference):
+    """Words of many letters without a blank, in rounds that contract many ranks at once, and in a second or so."""
+    rng = random.Random(11)
+    enc = bpe.Encoder(bpe.default_path())
+    parts = "gene rate pars tion graph edge modul depend ing".split()
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(30_000)), "".join(rng.choice(parts) for _ in range(8_000)), "a" * 20_001, "aab" * 5_000, "ß" * 3_001]
+    begun = time.time()
+    assert enc.contract([w.encode() for w in words]) == [reference(w) for w in words]
+    assert time.time() - begun < 20
+
+
+def test_contraction_of_runs(reference):
+    """Equal ranks side by side, cut by pairs of lower and higher rank."""
+    rng = random.Random(12)
+    enc = bpe.Encoder(bpe.default_path())
+    words = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 40))) for letters in ("aab", "ee", "lls", "oot", "ssst", "nne") for _ in range(400)]
+    assert enc.contract([w.encode() for w in words]) == [reference(w) for w in words]
+
+
 def test_empty_table(spark):
     assert bpe.encode_texts(spark.createDataFrame([], DOC)).collect() == []
     assert pack_documents(spark.createDataFrame([], DOC)).collect() == []
