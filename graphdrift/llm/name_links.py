@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.runtime import cut
-from .name_parse import TEAM_WORDS, Lexicon, address, fold, parse_local, parse_name, parse_team, resembles, words_of
+from .name_parse import TEAM_WORDS, Lexicon, address, fold, of_machine, parse_local, parse_name, parse_team, resembles, words_of
 
 #: Share of pairs, and least number, that hold a word of the lexicon; bounds it by the words a name has over the share.
 LEXICON_SHARE, LEXICON_LEAST = 1e-4, 3
@@ -57,7 +57,7 @@ def lexicon(pairs: DataFrame, forms: DataFrame) -> Lexicon:
                     out.append((full[0 if comma else 1], "last", ""))
                 local, domain = address(e)
                 parts = local.replace("-", ".").split(".")
-                if len(parts) == 2 and all(len(p) >= 4 and p.isalpha() for p in parts) and ".lan" not in domain:
+                if len(parts) == 2 and all(len(p) >= 4 and p.isalpha() for p in parts) and not of_machine(domain):
                     out += [(parts[0] + " " + parts[1], "local", domain)]
             yield pd.DataFrame(out, columns=["word", "place", "domain"])
 
@@ -227,12 +227,11 @@ def canonical_names(people: DataFrame, forms: DataFrame, lex: Lexicon) -> DataFr
         .join(real, "given", "left_anti")
         .select("surname", "given", "b", F.col("dist").cast("int").alias("dist"), "n_b")
     )
+    # a name cut short: every longer name of the surname looks it up by its own beginnings, so only true ones meet
+    heads = g_b.where("length(b) > 3").select("surname", "b", "n_b", F.explode(F.sequence(F.lit(3), F.length("b") - 1)).alias("k"))
     prefix = (
-        g.where("length(given) >= 3")
-        .join(real, "given", "left_anti")
-        .withColumn("head", F.substring("given", 1, 3))
-        .join(g_b.withColumn("head", F.substring("b", 1, 3)), ["surname", "head"])
-        .where(F.col("b").startswith(F.col("given")) & (F.length("b") > F.length("given")))
+        heads.select("surname", F.expr("substr(b, 1, k)").alias("given"), "b", "n_b")
+        .join(g.select("surname", "given").join(real, "given", "left_anti"), ["surname", "given"])
         .select("surname", "given", "b", F.lit(0).alias("dist"), "n_b")
     )
     g_map = _nearest(cut(short.unionByName(typo).unionByName(prefix).distinct()), ["surname", "given"], ["b"])

@@ -13,6 +13,8 @@ TITLES = {"dr", "mr", "mrs", "ms", "mx", "prof", "ing", "dipl", "phd", "sir"}
 TEAM_WORDS = {"platform", "operations", "data", "services", "security", "response", "quality", "assurance", "documentation", "group"}
 TEAM_WORDS |= {"build", "infrastructure", "release", "engineering", "developer", "experience", "support", "research", "analytics", "delivery"}
 NO_ADDRESS = {"", "-", "unknown", "none", "none@none", "null", "n/a", "na", "noreply", "no-reply"}
+# Labels of domains that stand for a single machine or a home network.
+MACHINE_LABELS = {"lan", "local", "localdomain", "localhost", "internal", "home"}
 _ASIDE = re.compile(r"\([^)]*\)|\[[^\]]*\]|\s[|/]\s.*$|\s[-–—]\s(?=\w+\s*$).*$")
 _PREFIX = re.compile(r"^\s*(?:dev|git|ext|adm|svc)[-_]\s*(?=[^\W\d_]{2,})", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
@@ -43,6 +45,11 @@ def organisation(domain: str) -> str:
     return domain.split(".")[0].split("-")[0] if domain else ""
 
 
+def of_machine(domain: str) -> bool:
+    """Whether a domain names a single machine, so that its local parts are names of accounts on it."""
+    return not MACHINE_LABELS.isdisjoint(domain.split("."))
+
+
 @dataclass
 class Lexicon:
     """What the whole table says: given names, and words that name functions of teams."""
@@ -50,17 +57,34 @@ class Lexicon:
     given: set[str] = field(default_factory=set)
     functions: set[str] = field(default_factory=set)
 
+    def __post_init__(self):
+        self.ordered = sorted(self.functions)
+        self.known: dict[str, str | None] = {}
+        # a function run together in an address: both words, or three letters of each -> their initials
+        self.joined: dict[str, str] = {}
+        for a in reversed(self.ordered):
+            for b in reversed(self.ordered):
+                for local in (a[:3] + b[:3], a + b):
+                    self.joined[local] = a[0] + b[0]
+
     def function(self, word: str) -> str | None:
         """The function word that `word` is or abbreviates: a prefix of three letters or more, or consonants in order."""
+        if word not in self.known:
+            if len(self.known) > 100_000:
+                self.known.clear()
+            self.known[word] = self._function(word)
+        return self.known[word]
+
+    def _function(self, word: str) -> str | None:
         if word in self.functions:
             return word
         if len(word) < 3:
             return None
         stem = word.rstrip("s") if len(word) > 3 else word
-        for f in sorted(self.functions):
+        for f in self.ordered:
             if f.startswith(stem) and len(stem) >= 3:
                 return f
-        for f in sorted(self.functions):
+        for f in self.ordered:
             if f[0] == word[0] and len(word) <= 4 and re.search(".*".join(word), f):
                 return f
         return None
@@ -112,7 +136,7 @@ def parse_local(local: str, domain: str, lex: Lexicon) -> tuple[str, str]:
     """(given name or its initial, surname) that a local part with a separator tells, else empty strings."""
     if "noreply" in domain:
         return "", ""
-    if domain.endswith(".lan.example") or ".lan" in domain:
+    if of_machine(domain):
         return local, ""
     parts = [re.sub(r"\d+$", "", p) for p in re.split(r"[._-]", local)]
     parts = [p for p in parts if p]
@@ -134,7 +158,7 @@ def resembles(name: str, given: str, surname: str, local: str, domain: str, lex:
     flat = re.sub(r"[^a-z]", "", fold(name))
     if len(surname) >= 4 and (surname[:4] in letters or surname[-5:] in letters):
         return True
-    if len(given) >= 3 and given[:3] in letters and (".lan" in domain or len(surname) < 4 or letters.startswith(given)):
+    if len(given) >= 3 and given[:3] in letters and (of_machine(domain) or len(surname) < 4 or letters.startswith(given)):
         return True
     g, s = parse_local(local, domain, lex)
     if g and s and len(surname) <= 1 and len(given) > 1 and given[0] == g[0] and (not surname or surname == s[0]):
@@ -162,10 +186,7 @@ def parse_team(name: str, local: str, domain: str, lex: Lexicon) -> tuple[str, s
     if len(parts) == 2 and all(p in lex.functions for p in parts):
         by_mail = parts[0][0] + parts[1][0]
     else:
-        for a in lex.functions:
-            for b in lex.functions:
-                if local in (a + b, a[:3] + b[:3]):
-                    by_mail = a[0] + b[0]
+        by_mail = lex.joined.get(local, "")
     org = organisation(domain)
     if len(found) >= 2 and (exact or by_mail or len(words) <= 4):
         others = [w for w in words if not lex.function(w)]
