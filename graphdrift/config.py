@@ -85,6 +85,10 @@ class Family:
     kind: str | None = None
     split: str = "auto"
     merge_small_into_family: bool = True
+    exclude: list[str] = field(default_factory=list)
+
+    def matches(self, label: str) -> bool:
+        return bool(re.match(globs_regex(self.include), label)) and not re.match(globs_regex(self.exclude), label)
 
 
 @dataclass
@@ -112,11 +116,17 @@ class Clustering:
     constraints: list[Constraint] = field(default_factory=list)
     aliases: dict[str, str] = field(default_factory=dict)
     kinds: dict[str, str] = field(default_factory=dict)
+    rules: list[Family] = field(default_factory=list)
+
+    def ordered_families(self) -> list[Family]:
+        """Families in the order in which they are tried: highest priority, then most patterns, then the earlier one; the plain
+        rules come last, in their own order."""
+        at = sorted(range(len(self.families)), key=lambda i: (-self.families[i].priority, -len(self.families[i].include), i))
+        return [self.families[i] for i in at] + self.rules
 
     def family(self, label: str) -> Family | None:
-        """The family that matches: highest priority, then most patterns, then the earlier one."""
-        hit = [(f.priority, len(f.include), -i, f) for i, f in enumerate(self.families) if re.match(globs_regex(f.include), label)]
-        return max(hit, key=lambda x: x[:3])[3] if hit else None
+        """The first family or rule that matches."""
+        return next((f for f in self.ordered_families() if f.matches(label)), None)
 
 
 @dataclass
@@ -145,6 +155,26 @@ def _take(cls, table: dict):
     return cls(**known)
 
 
+# Settings of the sub-tables of [clustering], and older flat ones, by the names they have here.
+_CLUSTERING = {
+    "semantic": {"include_exact_roots_for_known_heads": "include_exact_roots"},
+    "structural": {"enabled": "structural", "preserve_family_purity": "purity", "post_merge_small_clusters": "post_merge", "disambiguate_duplicate_names": "disambiguate"},
+    "presentation": {},
+}
+_OLD = {"workspace_split_threshold": "split_threshold", "workspace_max_share": "max_cluster_share", "cluster_aliases": "aliases", "cluster_kinds": "kinds"}
+
+
+def _clustering(c: dict) -> Clustering:
+    flat = {_OLD.get(k, k): v for k, v in c.items() if k not in _CLUSTERING and k not in ("families", "rules", "constraints")}
+    for part, names in _CLUSTERING.items():
+        flat |= {names.get(k, k): v for k, v in c.get(part, {}).items()}
+    out = _take(Clustering, flat)
+    out.families = [_take(Family, f) for f in c.get("families", [])]
+    out.rules = [Family(r["name"], list(r.get("match", [])), kind=r.get("kind")) for r in c.get("rules", [])]
+    out.constraints = [Constraint(x["type"], list(x.get("members", x.get("left", []))), list(x.get("right", []))) for x in c.get("constraints", [])]
+    return out
+
+
 def parse_config(text: str) -> Config:
     """Settings from TOML text; missing ones have their defaults. ValueError for what isn't valid."""
     t = tomllib.loads(text)
@@ -153,16 +183,10 @@ def parse_config(text: str) -> Config:
         WEIGHTS | {k: float(v) for k, v in s.get("weights", {}).items()},
         _take(Thresholds, s.get("thresholds", {})),
         _take(Exemptions, s.get("exemptions", {})),
-        [Boundary(r["from"], list(r["deny"])) for r in s.get("boundaries", {}).get("rules", s.get("rules", []))],
+        [Boundary(r["from"], list(r["deny"])) for r in s.get("boundaries", [])],
     )
-    flat = c | c.get("semantic", {}) | c.get("structural_options", {}) | {k: v for k, v in c.get("structural", {}).items()} if isinstance(c.get("structural"), dict) else c | c.get("semantic", {})
-    flat = {k: v for k, v in flat.items() if not isinstance(v, dict)}
-    if isinstance(c.get("structural"), dict):
-        flat["structural"] = c["structural"].get("enabled", True)
-    flat["families"] = [_take(Family, f) for f in c.get("families", [])]
-    flat["constraints"] = [_take(Constraint, x) for x in c.get("constraints", [])]
-    flat["aliases"], flat["kinds"] = dict(c.get("aliases", {})), dict(c.get("kinds", {}))
-    out = Config(_take(Ignore, t.get("ignore", {})), _take(Scan, t.get("scan", {})), scoring, _take(Clustering, flat))
+    clustering = _clustering(c)
+    out = Config(_take(Ignore, t.get("ignore", {})), _take(Scan, t.get("scan", {})), scoring, clustering)
     out.ignore.globs()
     if out.scan.package_depth < 1:
         raise ValueError("scan.package_depth must be at least 1")

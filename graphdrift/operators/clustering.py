@@ -265,7 +265,7 @@ def architecture_maps(edges: DataFrame, nodes: DataFrame, cfg: Clustering | None
 
     names = ["snapshot_id", "module_name", "cluster", "kind", "role", "anchor", "layer", "x_ratio", "y_ratio", "internal_weight", "outbound_weight", "inbound_weight"]
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple[str, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         links, own = pdf[pdf["b"].notna()], pdf[pdf["b"].isna()]
         e = dict(zip(zip(links["a"], links["b"], strict=True), links["w"].astype(int), strict=True))
         clusters = build_map(set(pdf["a"]) | set(links["b"]), e, set(own[own["i"]]["a"]), cfg) or []

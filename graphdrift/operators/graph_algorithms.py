@@ -9,11 +9,16 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 Edges = dict[tuple[str, str], int]
+#: Sources whose breadth-first searches advance together.
+BLOCK = 256
+#: Bound of the matrix of sources and edges that they hold at once.
+CELLS = 8_000_000
 
 
 def strong_components(nodes: set[str], edges: Edges) -> dict[str, str]:
@@ -79,6 +84,46 @@ def impacts(nodes: set[str], edges: Edges, target: str) -> dict[str, tuple[int,
     return out
 
 
+def blast_sums(nodes: set[str], edges: Edges) -> dict[str, tuple[int, float]]:
+    """For every node, the number of nodes that depend on it and the sum of their impacts (see `impacts`).
+
+    All breadth-first searches advance together, one distance a round: the reached sets of all sources are the rows of a bit
+    matrix, and an edge joins the row of its target's frontier to its source. Sources are taken in blocks, so that memory is
+    bounded by CELLS, not by the square of the graph.
+    """
+    names = sorted(nodes)
+    at = {x: i for i, x in enumerate(names)}
+    n = len(names)
+    if not edges:
+        return dict.fromkeys(names, (0, 0.0))
+    a = np.fromiter((at[k[0]] for k in edges), np.int64, len(edges))
+    b = np.fromiter((at[k[1]] for k in edges), np.int64, len(edges))
+    w = np.log1p(np.fromiter(edges.values(), np.float64, len(edges)))
+    order = np.argsort(a, kind="stable")
+    a, b, w = a[order], b[order], w[order]
+    heads, first = np.unique(a, return_index=True)
+    out: dict[str, tuple[int, float]] = {}
+    width = max(1, min(BLOCK, CELLS // max(n, len(edges))))
+    for begin in range(0, n, width):
+        block = np.arange(begin, min(n, begin + width))
+        seen = np.zeros((n, len(block)), dtype=bool)
+        seen[block, np.arange(len(block))] = True
+        front, count, reach, d = seen.copy(), np.zeros(len(block), np.int64), np.zeros(len(block)), 0
+        while front.any():
+            d += 1
+            # the greatest weight by which each head reaches the frontier of each source
+            best = np.zeros((n, len(block)))
+            best[heads] = np.maximum.reduceat(np.where(front[b], w[:, None], 0.0), first, axis=0)
+            hit = np.zeros((n, len(block)), dtype=bool)
+            hit[heads] = np.logical_or.reduceat(front[b], first, axis=0)
+            front = hit & ~seen
+            seen |= front
+            count += front.sum(axis=0)
+            reach += np.where(front, best, 0.0).sum(axis=0) / (1 + d) ** 2
+        out |= {names[i]: (int(c), float(r)) for i, c, r in zip(block, count, reach, strict=True)}
+    return out
+
+
 def cut_vertices(nodes: set[str], edges: Edges) -> dict[str, int]:
     """Cut vertex of the undirected graph -> number of parts that its component falls into without it; none below 3 nodes."""
     if len(nodes) < 3:
@@ -239,7 +284,7 @@ def per_snapshot(edges: DataFrame, nodes: DataFrame, schema: str, make) -> DataF
         nodes.select("snapshot_id", F.col("module_name").alias("a"), F.lit(None).cast("string").alias("b"), F.lit(0).cast("bigint").alias("w"))
     )
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple[str, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         links = pdf[pdf["b"].notna()]
         e = dict(zip(zip(links["a"], links["b"], strict=True), links["w"].astype(int), strict=True))
         v = set(pdf["a"]) | set(links["b"])
@@ -254,15 +299,14 @@ def scc(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def blast_all(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(snapshot_id, module_name, downstream_count, weighted_reach, score) for every module."""
+    """(snapshot_id, module_name, downstream_count, weighted_reach, score, is_articulation_point) for every module."""
 
     def make(v, e):
-        for m in sorted(v):
-            hit = impacts(v, e, m)
-            reach = math.fsum(x for _, x in hit.values())
-            yield m, len(hit), reach, min(1.0, reach / (len(v) - 1)) if len(v) > 1 else 0.0
+        cut = cut_vertices(v, e)
+        for m, (count, reach) in blast_sums(v, e).items():
+            yield m, count, reach, min(1.0, reach / (len(v) - 1)) if len(v) > 1 else 0.0, m in cut
 
-    return per_snapshot(edges, nodes, "module_name string, downstream_count bigint, weighted_reach double, score double", make)
+    return per_snapshot(edges, nodes, "module_name string, downstream_count bigint, weighted_reach double, score double, is_articulation_point boolean", make)
 
 
 def blast_single(edges: DataFrame, nodes: DataFrame) -> DataFrame:

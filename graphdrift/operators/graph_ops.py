@@ -1,102 +1,22 @@
-"""Graph aggregates and the six-component debt score, as SQL text over {edges}, {nodes}, {frames} and {scc}.
-
-All snapshots are computed at once; a snapshot without nodes has no row. Sub-scores are rounded to one decimal, the total
-uses them unrounded. Thresholds and weights are the model's defaults.
-"""
+"""Graph aggregates and reports as SQL text over {edges}, {nodes}, {scc} and {blast}; all snapshots are computed at once."""
 
 from __future__ import annotations
 
-from ..functions.labels import ENTRY_STEMS
-
-WEIGHTS = {"cycle": 30, "layering": 25, "hub": 15, "coupling": 12, "cognitive": 10, "instability": 8}
-HUB_RATIO, ENTRY_FAN_IN, BRITTLE, HIGH_IMPACT = 0.3, 2, 0.8, 0.3
-#: Example boundary rules: modules under the first prefix must not import those under the second.
-BOUNDARIES = (("trigger/", "trace/"), ("reader/", "policy/"), ("src/", "plugin/"))
+HIGH_IMPACT = 0.3
 
 DEGREES = """SELECT n.snapshot_id, n.module_name, coalesce(i.fan_in, 0) AS fan_in, coalesce(o.fan_out, 0) AS fan_out, coalesce(i.w, 0) + coalesce(o.w, 0) AS weighted_degree
   FROM {nodes} n LEFT JOIN (SELECT snapshot_id, to_module, count(*) AS fan_in, CAST(sum(weight) AS BIGINT) AS w FROM {edges} GROUP BY 1, 2) i ON i.snapshot_id = n.snapshot_id AND i.to_module = n.module_name
   LEFT JOIN (SELECT snapshot_id, from_module, count(*) AS fan_out, CAST(sum(weight) AS BIGINT) AS w FROM {edges} GROUP BY 1, 2) o ON o.snapshot_id = n.snapshot_id AND o.from_module = n.module_name"""
 SIZES = "SELECT n.snapshot_id, n.n, coalesce(e.e, 0) AS e FROM (SELECT snapshot_id, count(*) AS n FROM {nodes} GROUP BY 1) n LEFT JOIN (SELECT snapshot_id, count(*) AS e FROM {edges} GROUP BY 1) e ON e.snapshot_id = n.snapshot_id"
-COMPONENTS = "SELECT snapshot_id, scc_id, count(*) AS size FROM {scc} GROUP BY 1, 2 HAVING count(*) > 1"
-_STEM = "split_part(CASE WHEN instr(module_name, '/') > 0 THEN regexp_extract(module_name, '([^/]*)$', 1) ELSE module_name END, '.', 1)"
-ENTRY = f"{_STEM} IN ({', '.join(repr(x) for x in ENTRY_STEMS)})"
-_RULES = " OR ".join(f"(from_module LIKE '{a}%' AND to_module LIKE '{b}%')" for a, b in BOUNDARIES)
-
-
-def _asym(raw: str, k: int) -> str:
-    return f"100 * (1 - exp(-{k} * ({raw})))"
-
-
-CYCLE = f"""SELECT s.snapshot_id, count(c.scc_id) AS n_cycles, CASE WHEN count(c.scc_id) = 0 THEN 0.0 ELSE {_asym("0.5 * sum(c.size) / max(s.n) + 0.3 * max(c.size) / max(s.n) + 0.2 * least(1.0, ln(1.0 + count(c.scc_id)) / ln(1.0 + max(s.n) / 4.0))", 3)} END AS score
-  FROM ({SIZES}) s LEFT JOIN ({COMPONENTS}) c ON c.snapshot_id = s.snapshot_id GROUP BY s.snapshot_id"""
-LAYERING = f"""SELECT s.snapshot_id, CAST(coalesce(sum(v.over), 0) AS BIGINT) AS violations, CASE WHEN max(s.n) < 3 OR max(s.e) = 0 THEN 0.0 ELSE {_asym("coalesce(sum(v.over), 0) / CAST(greatest(max(s.e), 1) AS DOUBLE)", 3)} END AS score
-  FROM ({SIZES}) s LEFT JOIN (SELECT c.snapshot_id, c.scc_id, greatest(0, count(*) - max(c.size)) AS over FROM {{edges}} e
-    JOIN {{scc}} a ON a.snapshot_id = e.snapshot_id AND a.module_name = e.from_module JOIN {{scc}} b ON b.snapshot_id = e.snapshot_id AND b.module_name = e.to_module AND b.scc_id = a.scc_id
-    JOIN ({COMPONENTS}) c ON c.snapshot_id = a.snapshot_id AND c.scc_id = a.scc_id GROUP BY 1, 2) v ON v.snapshot_id = s.snapshot_id GROUP BY s.snapshot_id"""
-BOUNDARY = f"""SELECT s.snapshot_id, coalesce(max(b.v), 0) AS violations, CASE WHEN max(s.e) = 0 THEN 0.0 ELSE {_asym("coalesce(max(b.v), 0) / CAST(greatest(max(s.e), 1) AS DOUBLE)", 3)} END AS score
-  FROM ({SIZES}) s LEFT JOIN (SELECT snapshot_id, count(*) AS v FROM {{edges}} WHERE {_RULES} GROUP BY 1) b ON b.snapshot_id = s.snapshot_id GROUP BY s.snapshot_id"""
-HUBS = f"""SELECT d.snapshot_id, d.module_name, d.fan_in, d.fan_out, (d.fan_in + d.fan_out - t.t) / t.t * least(2.0, greatest(0.5, d.weighted_degree / CAST(d.fan_in + d.fan_out AS DOUBLE) / 2)) * least(1.0, d.fan_out / (d.fan_in + 1.0)) AS penalty
-  FROM ({DEGREES}) d JOIN (SELECT snapshot_id, greatest(8.0, 2 * sqrt(n)) AS t FROM ({SIZES}) z WHERE n >= 6) t ON t.snapshot_id = d.snapshot_id
-  WHERE d.fan_in + d.fan_out >= t.t AND d.fan_out / (d.fan_in + 1.0) >= {HUB_RATIO} AND d.fan_in > {ENTRY_FAN_IN} AND NOT ({ENTRY})"""
-HUB = f"""SELECT s.snapshot_id, count(h.penalty) AS n_hubs, CASE WHEN count(h.penalty) = 0 THEN 0.0 ELSE least(100.0, {_asym("avg(h.penalty) * (1 + 0.3 * (count(h.penalty) - 1))", 2)}) END AS score
-  FROM ({SIZES}) s LEFT JOIN ({HUBS}) h ON h.snapshot_id = s.snapshot_id GROUP BY s.snapshot_id"""
-COUPLING = f"""SELECT s.snapshot_id, CASE WHEN s.n < 3 OR s.e = 0 THEN 0.0 ELSE {_asym("0.6 * least(1.0, greatest(0.0, l.total / s.n - (3 + 2 * ln(s.n))) / (3 + 2 * ln(s.n))) + 0.4 * least(1.0, l.dev / l.mean / 2)", 3)} END AS score
-  FROM ({SIZES}) s LEFT JOIN (SELECT snapshot_id, sum(ln(1.0 + weight)) AS total, avg(ln(1.0 + weight)) AS mean, stddev_pop(ln(1.0 + weight)) AS dev FROM {{edges}} GROUP BY 1) l ON l.snapshot_id = s.snapshot_id"""
-COGNITIVE = f"""SELECT snapshot_id, CASE WHEN n < 3 THEN 0.0 ELSE {_asym("(0.5 * least(1.0, greatest(0.0, e / (2.0 * n) - 1) / 2) + 0.5 * least(1.0, greatest(0.0, (2.0 * e / n) / greatest(3.0, 2 * ln(n)) - 1))) * (1 - exp(-n / 20.0))", 3)} END AS score FROM ({SIZES}) s"""
-INSTABILITY = f"""SELECT s.snapshot_id, coalesce(max(b.brittle), 0) AS n_brittle, CASE WHEN max(s.n) < 3 OR coalesce(max(b.eligible), 0) = 0 THEN 0.0 ELSE {_asym("max(b.brittle) / CAST(max(b.eligible) AS DOUBLE) * (1 - exp(-max(s.n) / 30.0))", 3)} END AS score
-  FROM ({SIZES}) s LEFT JOIN (SELECT snapshot_id, count(*) AS eligible, count_if(fan_out / CAST(fan_in + fan_out AS DOUBLE) > {BRITTLE}) AS brittle FROM ({DEGREES}) d WHERE fan_in + fan_out >= 3 AND fan_in > 0 AND NOT ({ENTRY}) GROUP BY 1) b ON b.snapshot_id = s.snapshot_id GROUP BY s.snapshot_id"""
-_LINKS = "SELECT repo_id, snapshot_id, lag(snapshot_id) OVER (PARTITION BY repo_id ORDER BY scan_order, commit_hash) AS previous FROM {frames}"
-_CHANGES = f"""SELECT l.snapshot_id, a.module_name, a.fan_in - b.fan_in AS din, a.fan_out - b.fan_out AS dout FROM ({_LINKS}) l
-  JOIN ({DEGREES}) a ON a.snapshot_id = l.snapshot_id JOIN ({DEGREES}) b ON b.snapshot_id = l.previous AND b.module_name = a.module_name"""
-
-
-def _median(col: str) -> str:
-    ranked = f"SELECT snapshot_id, {col} AS x, row_number() OVER (PARTITION BY snapshot_id ORDER BY {col}, module_name) AS r, count(*) OVER (PARTITION BY snapshot_id) AS c FROM ({_CHANGES}) q"
-    return f"SELECT snapshot_id, sign(avg(x)) * floor(abs(avg(x))) AS m FROM ({ranked}) w WHERE 2 * r BETWEEN c AND c + 2 GROUP BY 1"
-
-
-FAN_DELTA = f"""SELECT l.snapshot_id, CAST(coalesce(i.m, 0) AS BIGINT) AS fan_in_delta, CAST(coalesce(o.m, 0) AS BIGINT) AS fan_out_delta FROM ({_LINKS}) l
-  LEFT JOIN ({_median("din")}) i ON i.snapshot_id = l.snapshot_id LEFT JOIN ({_median("dout")}) o ON o.snapshot_id = l.snapshot_id"""
-DRIFT = f"""SELECT c.snapshot_id, CAST(least(100, round((30 * c.score + 25 * l.score + 15 * h.score + 12 * k.score + 10 * g.score + 8 * i.score) / 100)) AS INT) AS total, c.n_cycles, l.violations AS layering_violations,
-    round(c.score, 1) AS cycle_debt, round(l.score, 1) AS layering_debt, round(h.score, 1) AS hub_debt, round(k.score, 1) AS coupling_debt, round(g.score, 1) AS cognitive_debt, round(i.score, 1) AS instability_debt
-  FROM ({CYCLE}) c JOIN ({LAYERING}) l ON l.snapshot_id = c.snapshot_id JOIN ({HUB}) h ON h.snapshot_id = c.snapshot_id JOIN ({COUPLING}) k ON k.snapshot_id = c.snapshot_id
-  JOIN ({COGNITIVE}) g ON g.snapshot_id = c.snapshot_id JOIN ({INSTABILITY}) i ON i.snapshot_id = c.snapshot_id"""
-
-
-def _rounded(text: str, *keep: str) -> str:
-    return f"SELECT {', '.join(['snapshot_id', *keep, 'round(score, 4) AS score'])} FROM ({text}) q"
-
 
 OPS = {
     "g_build": "SELECT snapshot_id, from_module, to_module, weight FROM {edges}",
     "g_nodes": "SELECT snapshot_id, module_name, is_internal, importer_count FROM {nodes}",
-    "g_degrees": DEGREES,
-    "g_instability": f"SELECT snapshot_id, module_name, fan_in, fan_out, CASE WHEN fan_in + fan_out = 0 THEN 0.0 ELSE round(fan_out / CAST(fan_in + fan_out AS DOUBLE), 6) END AS instability FROM ({DEGREES}) d",
-    "g_fan_delta": FAN_DELTA,
     "g_pairs": "SELECT DISTINCT snapshot_id, from_module, to_module FROM {edges}",
     "g_undirected": "SELECT snapshot_id, a, b, CAST(sum(greatest(weight, 1)) AS BIGINT) AS weight FROM (SELECT snapshot_id, from_module AS a, to_module AS b, weight FROM {edges} UNION ALL SELECT snapshot_id, to_module, from_module, weight FROM {edges}) u GROUP BY 1, 2, 3",
     "g_layout_arrays": """WITH i AS (SELECT snapshot_id, module_name, row_number() OVER (PARTITION BY snapshot_id ORDER BY module_name) - 1 AS idx FROM {nodes})
         SELECT e.snapshot_id, a.idx AS from_idx, b.idx AS to_idx, e.weight FROM {edges} e JOIN i a ON a.snapshot_id = e.snapshot_id AND a.module_name = e.from_module JOIN i b ON b.snapshot_id = e.snapshot_id AND b.module_name = e.to_module""",
-    "g_node_total_weight": f"SELECT snapshot_id, module_name, weighted_degree AS total_weight FROM ({DEGREES}) d",
     "gr_scc": "SELECT snapshot_id, module_name, scc_id FROM {scc}",
-    "sc_cycle": _rounded(CYCLE, "n_cycles"),
-    "sc_cycle_count": f"SELECT snapshot_id, count(*) AS n_cycles FROM ({COMPONENTS}) c GROUP BY 1",
-    "sc_layering": _rounded(LAYERING, "violations"),
-    "sc_boundary": _rounded(BOUNDARY, "violations"),
-    "sc_hub": _rounded(HUB, "n_hubs"),
-    "sc_coupling": _rounded(COUPLING),
-    "sc_cognitive": _rounded(COGNITIVE),
-    "sc_instability": _rounded(INSTABILITY, "n_brittle"),
-    "sc_drift": f"SELECT d.*, f.fan_in_delta, f.fan_out_delta FROM ({DRIFT}) d JOIN ({FAN_DELTA}) f ON f.snapshot_id = d.snapshot_id",
-    "sc_diagnostics": f"""
-        WITH d AS ({DRIFT}), hubs AS (SELECT *, row_number() OVER (PARTITION BY snapshot_id ORDER BY fan_in + fan_out DESC, module_name) AS r FROM ({HUBS.replace(f" AND NOT ({ENTRY})", "")}) h),
-        heavy AS (SELECT *, row_number() OVER (PARTITION BY snapshot_id ORDER BY weight DESC, from_module, to_module) AS r FROM {{edges}})
-        SELECT snapshot_id, 'cycles' AS rule_id, 1 AS rank, CAST(n_cycles AS STRING) AS args FROM d WHERE cycle_debt > 10
-        UNION ALL SELECT snapshot_id, 'layering', 1, CAST(layering_violations AS STRING) FROM d WHERE layering_debt > 10 AND layering_violations > 0
-        UNION ALL SELECT d.snapshot_id, 'hub', CAST(h.r AS INT), h.module_name || ' ' || CAST(h.fan_in AS STRING) || ' ' || CAST(h.fan_out AS STRING) FROM d JOIN hubs h ON h.snapshot_id = d.snapshot_id WHERE d.hub_debt > 10 AND h.r <= 2
-        UNION ALL SELECT d.snapshot_id, 'heaviest', 1, e.from_module || ' ' || e.to_module || ' ' || CAST(e.weight AS STRING) FROM d JOIN heavy e ON e.snapshot_id = d.snapshot_id WHERE d.coupling_debt > 10 AND e.r = 1 AND e.weight > 5
-        UNION ALL SELECT snapshot_id, 'cognitive', 1, CAST(cognitive_debt AS STRING) FROM d WHERE cognitive_debt > 10""",
-    "sc_legacy_boundaries": "SELECT snapshot_id, from_module, to_module FROM {edges} WHERE from_module LIKE 'packages/%' AND to_module LIKE 'apps/%' OR from_module LIKE 'libs/%' AND (to_module LIKE 'apps/%' OR to_module LIKE 'cli/%' OR to_module LIKE 'runtime/%') OR (from_module LIKE 'ext/%' OR from_module LIKE 'runtime/%') AND to_module LIKE 'cli/%'",
     "gr_condense": """SELECT e.snapshot_id, a.scc_id AS from_scc, b.scc_id AS to_scc, max(e.weight) AS weight FROM {edges} e JOIN {scc} a ON a.snapshot_id = e.snapshot_id AND a.module_name = e.from_module
         JOIN {scc} b ON b.snapshot_id = e.snapshot_id AND b.module_name = e.to_module WHERE a.scc_id <> b.scc_id GROUP BY 1, 2, 3""",
     "gr_neighborhood": """WITH m AS (SELECT snapshot_id, module_name FROM {nodes} WHERE lower(module_name) LIKE '%core%'),
@@ -117,10 +37,8 @@ OPS = {
     "rp_context": "SELECT n.snapshot_id, n.module_name, coalesce(i.w, 0) AS weight_in, coalesce(o.w, 0) AS weight_out FROM {nodes} n LEFT JOIN (SELECT snapshot_id, to_module AS m, CAST(sum(weight) AS BIGINT) AS w FROM {edges} GROUP BY 1, 2) i ON i.snapshot_id = n.snapshot_id AND i.m = n.module_name LEFT JOIN (SELECT snapshot_id, from_module AS m, CAST(sum(weight) AS BIGINT) AS w FROM {edges} GROUP BY 1, 2) o ON o.snapshot_id = n.snapshot_id AND o.m = n.module_name",
     "rp_relation_class": """SELECT snapshot_id, centre, module_name, CASE WHEN inb + outb = 2 THEN 'bidirectional' WHEN inb = 1 THEN 'inbound' ELSE 'outbound' END AS relation FROM (
         SELECT snapshot_id, centre, module_name, max(inb) AS inb, max(outb) AS outb FROM (SELECT snapshot_id, to_module AS centre, from_module AS module_name, 1 AS inb, 0 AS outb FROM {edges} UNION ALL SELECT snapshot_id, from_module, to_module, 0, 1 FROM {edges}) u GROUP BY 1, 2, 3) x""",
-    "rp_boundary_list": f"SELECT snapshot_id, from_module, to_module FROM (SELECT *, row_number() OVER (PARTITION BY snapshot_id ORDER BY from_module, to_module) AS r FROM {{edges}} WHERE {_RULES}) x WHERE r <= 10",
     "rp_blast_overlay": "SELECT e.snapshot_id, e.from_module, e.to_module, round((coalesce(a.score, 0) + coalesce(b.score, 0)) / 2, 6) AS edge_score FROM {edges} e LEFT JOIN {blast} a ON a.snapshot_id = e.snapshot_id AND a.module_name = e.from_module LEFT JOIN {blast} b ON b.snapshot_id = e.snapshot_id AND b.module_name = e.to_module",
-    "gr_blast_all": f"SELECT snapshot_id, module_name, downstream_count, round(weighted_reach, 6) AS weighted_reach, round(score, 6) AS score, score >= {HIGH_IMPACT} AS is_high_impact FROM {{blast}}",
-    "gr_blast_summary": "SELECT snapshot_id, round(max(score), 6) AS max_score, round(avg(score), 6) AS mean_score, max(downstream_count) AS most_downstream FROM {blast} GROUP BY 1",
+    "gr_blast_all": f"SELECT snapshot_id, module_name, downstream_count, round(weighted_reach, 6) AS weighted_reach, round(score, 6) AS score, score >= {HIGH_IMPACT} AS is_high_impact, is_articulation_point FROM {{blast}}",
 }
 OPS["gr_neighborhood"] = OPS["gr_neighborhood"].replace(
     "({edges_among})", "(SELECT e.* FROM {edges} e JOIN v b ON b.snapshot_id = e.snapshot_id AND b.module_name = e.to_module)"
@@ -132,10 +50,14 @@ SCC_SQL = {
     "scc": "SELECT n.snapshot_id, n.module_name, least(n.module_name, coalesce(min(r.b), n.module_name)) AS scc_id FROM {nodes} n LEFT JOIN (SELECT x.snapshot_id, x.a, x.b FROM {reach} x JOIN {reach} y ON y.snapshot_id = x.snapshot_id AND y.a = x.b AND y.b = x.a) r ON r.snapshot_id = n.snapshot_id AND r.a = n.module_name GROUP BY 1, 2",
 }
 BLAST_SQL = {
-    "walk": "SELECT snapshot_id, module_name AS target, module_name AS node, 0 AS dist FROM {nodes} UNION SELECT w.snapshot_id, w.target, e.from_module, w.dist + 1 FROM walk w JOIN {edges} e ON e.snapshot_id = w.snapshot_id AND e.to_module = w.node WHERE w.dist < 14",
+    "both_ways": "SELECT snapshot_id, from_module AS a, to_module AS b FROM {edges} UNION SELECT snapshot_id, to_module, from_module FROM {edges}",
+    "walk": "SELECT snapshot_id, module_name, module_name, 0 FROM {nodes} UNION SELECT DISTINCT w.snapshot_id, w.target, e.from_module, w.dist + 1 FROM walk w JOIN {edges} e ON e.snapshot_id = w.snapshot_id AND e.to_module = w.node LEFT JOIN recurring.walk r ON r.snapshot_id = w.snapshot_id AND r.target = w.target AND r.node = e.from_module WHERE r.node IS NULL",
     "dist": "SELECT snapshot_id, target, node, min(dist) AS d FROM {walk} GROUP BY 1, 2, 3",
     "hits": "SELECT x.snapshot_id, x.target, x.node, x.d, max(e.weight) AS w FROM {dist} x JOIN {edges} e ON e.snapshot_id = x.snapshot_id AND e.from_module = x.node JOIN {dist} y ON y.snapshot_id = x.snapshot_id AND y.target = x.target AND y.node = e.to_module AND y.d = x.d - 1 WHERE x.d > 0 GROUP BY 1, 2, 3, 4",
-    "blast": "SELECT n.snapshot_id, n.module_name, count(h.node) AS downstream_count, coalesce(sum(ln(1.0 + h.w) / ((1 + h.d) * (1 + h.d))), 0) AS weighted_reach, CASE WHEN count(*) OVER (PARTITION BY n.snapshot_id) > 1 THEN least(1.0, coalesce(sum(ln(1.0 + h.w) / ((1 + h.d) * (1 + h.d))), 0) / (count(*) OVER (PARTITION BY n.snapshot_id) - 1)) ELSE 0.0 END AS score FROM {nodes} n LEFT JOIN {hits} h ON h.snapshot_id = n.snapshot_id AND h.target = n.module_name GROUP BY n.snapshot_id, n.module_name",
+    # least label that each module reaches without the one that is gone, and the parts into which the neighbours of that one fall
+    "without": "SELECT n.snapshot_id, r.module_name, n.module_name, n.module_name FROM {nodes} n JOIN {nodes} r ON r.snapshot_id = n.snapshot_id AND r.module_name <> n.module_name UNION SELECT x.snapshot_id, x.gone, x.node, min(y.label) FROM without y JOIN {both_ways} u ON u.snapshot_id = y.snapshot_id AND u.a = y.node AND u.b <> y.gone JOIN recurring.without x ON x.snapshot_id = y.snapshot_id AND x.gone = y.gone AND x.node = u.b WHERE y.label < x.label GROUP BY 1, 2, 3",
+    "cuts": "SELECT u.snapshot_id, u.a AS module_name, count(DISTINCT w.label) AS parts FROM {both_ways} u JOIN {without} w ON w.snapshot_id = u.snapshot_id AND w.gone = u.a AND w.node = u.b GROUP BY 1, 2 HAVING count(DISTINCT w.label) > 1",
+    "blast": "SELECT n.snapshot_id, n.module_name, EXISTS (SELECT 1 FROM {cuts} c WHERE c.snapshot_id = n.snapshot_id AND c.module_name = n.module_name) AS is_articulation_point, count(h.node) AS downstream_count, coalesce(sum(ln(1.0 + h.w) / ((1 + h.d) * (1 + h.d))), 0) AS weighted_reach, CASE WHEN count(*) OVER (PARTITION BY n.snapshot_id) > 1 THEN least(1.0, coalesce(sum(ln(1.0 + h.w) / ((1 + h.d) * (1 + h.d))), 0) / (count(*) OVER (PARTITION BY n.snapshot_id) - 1)) ELSE 0.0 END AS score FROM {nodes} n LEFT JOIN {hits} h ON h.snapshot_id = n.snapshot_id AND h.target = n.module_name GROUP BY n.snapshot_id, n.module_name",
 }
 PATH_SQL = {
     "links": OPS["gr_condense"],
@@ -143,6 +65,9 @@ PATH_SQL = {
     "sums": "SELECT DISTINCT snapshot_id, scc_id, 0::BIGINT AS total FROM {scc} UNION SELECT s.snapshot_id, l.to_scc, s.total + l.weight FROM sums s JOIN {links} l ON l.snapshot_id = s.snapshot_id AND l.from_scc = s.scc_id",
 }
 PATH_ORACLES = {
+    "gr_articulation": "SELECT c.snapshot_id, c.module_name, (SELECT count(*) FROM {edges} e WHERE e.snapshot_id = c.snapshot_id AND e.to_module = c.module_name) AS fan_in, (SELECT count(*) FROM {edges} e WHERE e.snapshot_id = c.snapshot_id AND e.from_module = c.module_name) AS fan_out, c.parts AS components_bridged FROM {cuts} c",
+    "gr_critical_path_weights": "SELECT snapshot_id, rank, total_weight FROM (SELECT snapshot_id, row_number() OVER (PARTITION BY snapshot_id ORDER BY max(total) DESC) AS rank, max(total)::BIGINT AS total_weight FROM {sums} GROUP BY snapshot_id, scc_id HAVING max(total) > 0) WHERE rank <= 5",
+    "gr_blast_summary": "SELECT snapshot_id, count(*) FILTER (is_articulation_point) AS articulation_point_count, round(max(score), 6) AS max_blast_score, first(module_name ORDER BY round(score, 9) DESC, module_name) AS most_impactful_module, round(avg(score), 6) AS mean_blast_score FROM {blast} GROUP BY 1",
     "gr_layers": "SELECT c.snapshot_id, c.module_name, max(s.level)::BIGINT AS layer FROM {scc} c JOIN {steps} s ON s.snapshot_id = c.snapshot_id AND s.scc_id = c.scc_id GROUP BY 1, 2",
     "gr_longest_distance": "SELECT snapshot_id, scc_id, max(total)::BIGINT AS distance FROM {sums} GROUP BY 1, 2",
     "gr_blast_single": """WITH t AS (SELECT snapshot_id, to_module, row_number() OVER (PARTITION BY snapshot_id ORDER BY count(*) DESC, to_module) AS r FROM {edges} GROUP BY 1, 2)

@@ -7,9 +7,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions.paths import globs_regex
-from ..operators.reports import analyze
 from ..sources.store import Store
-from .model import commit_rows, duck, edges, frames, nodes, run
+from .model import duck, edges, frames, run
 from .runtime import ensure_checkpoint_dir, table
 from .scalars import _SQL_LABELS, _labels
 
@@ -92,7 +91,6 @@ QUERIES = {
     "fn_fingerprint": lambda s, d: frames(s, d).select("repo_id", "commit_hash", F.get_json_object("config_fingerprint", "$.scan.package_depth").cast("int").alias("package_depth")),
     "q_snapshot": lambda s, d: run(s, d, SNAPSHOT),
     "q_load_snapshots": lambda s, d: run(s, d, LOADED),
-    "rp_analyze": lambda s, d: analyze(s, edges(s, d), nodes(s, d), frames(s, d), commit_rows(s, d))["drift"],
     "sink_commit": _sink("commits", _stored_commits),
     "sink_frame": _sink("frames", lambda s, d: frames(s, d)),
     "sink_repository": _repositories,

@@ -30,6 +30,15 @@ def _graph(text: str):
     return query
 
 
+def _blast_summary(s, d):
+    """One row per snapshot: cut vertices, the greatest impact and its module (ties by name), and the mean impact."""
+    first = F.min_by("module_name", F.struct(-F.round("score", 9), "module_name"))
+    return A.blast_all(edges(s, d), nodes(s, d)).groupBy("snapshot_id").agg(
+        F.count_if("is_articulation_point").alias("articulation_point_count"), F.round(F.max("score"), 6).alias("max_blast_score"),
+        first.alias("most_impactful_module"), F.round(F.avg("score"), 6).alias("mean_blast_score"),
+    )
+
+
 def _maps(s, d):
     return architecture_maps(edges(s, d), nodes(s, d))
 
@@ -44,6 +53,9 @@ QUERIES |= {
     "gr_blast_single": _algorithm(A.blast_single),
     "gr_articulation": _algorithm(A.articulation),
     "gr_critical_paths": _algorithm(A.critical_paths),
+    "gr_critical_path_weights": lambda s, d: A.critical_paths(edges(s, d), nodes(s, d)).select("snapshot_id", "rank", "total_weight"),
+    "gr_chain_depth": lambda s, d: A.critical_paths(edges(s, d), nodes(s, d)).groupBy("snapshot_id").agg(F.max("depth").alias("longest_chain_depth")),
+    "gr_blast_summary": _blast_summary,
     "gr_longest_distance": _algorithm(A.longest_distance),
     "gr_layers": _algorithm(A.component_layers),
     "gr_label_propagation": _algorithm(A.label_propagation),

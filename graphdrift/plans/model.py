@@ -82,6 +82,13 @@ SQL = {
 BASE = {"edges": edges, "nodes": nodes, "frames": frames, "commit_rows": commit_rows}
 
 
+#: Recursive relations of oracles that keep one row for each key.
+KEYED = {
+    "walk": "(snapshot_id, target, node, dist) USING KEY (snapshot_id, target, node)",
+    "without": "(snapshot_id, gone, node, label) USING KEY (snapshot_id, gone, node)",
+}
+
+
 def _names(text: str, known) -> list[str]:
     return [n for n in known if "{" + n + "}" in text]
 
@@ -102,7 +109,7 @@ def duck(text: str, **more: str) -> str:
                 used[n] = more.get(n) or SQL[n]
                 todo.append(used[n])
     order = [n for n in [*SQL, *more] if n in used]
-    ctes = ", ".join(f"{n} AS ({used[n]})" for n in order)
+    ctes = ", ".join(f"{n}{KEYED.get(n, '')} AS ({used[n]})" for n in order)
     for n in order:
         text, ctes = text.replace("{" + n + "}", n), ctes.replace("{" + n + "}", n)
     text = text.strip()

@@ -66,7 +66,7 @@ def test_extract_parses_equal_blobs_once_and_keeps_rows(spark):
 def test_config():
     c = parse_config("")
     assert c.scan.package_depth == 2 and sum(c.scoring.normalized().values()) == pytest.approx(1)
-    full = parse_config('[scan]\npackage_depth=1\n[scoring.weights]\ncycle=0\nlayering=0\nhub=0\ncoupling=0\ncognitive=0\ninstability=0\n[[scoring.boundaries.rules]]\nfrom="packages/**"\ndeny=["apps/**"]')
+    full = parse_config('[scan]\npackage_depth=1\n[scoring.weights]\ncycle=0\nlayering=0\nhub=0\ncoupling=0\ncognitive=0\ninstability=0\n[[scoring.boundaries]]\nfrom="packages/**"\ndeny=["apps/**"]')
     assert full.scoring.normalized()["cycle"] == pytest.approx(0.3)
     assert full.scoring.boundaries[0].denies("packages/core", "apps/web") and not full.scoring.boundaries[0].denies("apps/web", "packages/core")
     assert c.fingerprint() != full.fingerprint() and parse_config("[clustering]\nmin_cluster_size=9").fingerprint() == c.fingerprint()
@@ -75,6 +75,38 @@ def test_config():
             parse_config(bad)
 
 
+def test_clustering_settings():
+    c = parse_config("""
+[clustering]
+strategy = "namespace"
+[clustering.semantic]
+include_exact_roots_for_known_heads = false
+[clustering.structural]
+enabled = false
+preserve_family_purity = false
+min_cluster_size = 4
+[clustering.presentation.aliases]
+deps = "third-party"
+[clustering.presentation.kinds]
+third-party = "deps"
+[[clustering.families]]
+name = "runtime"
+kind = "infra"
+include = ["runtime", "runtime/**"]
+exclude = ["runtime/test/**"]
+split = "never"
+[[clustering.rules]]
+name = "node"
+match = ["node*", "runtime/**"]
+[[clustering.constraints]]
+type = "must_group"
+members = ["core", "core/**"]
+""").clustering
+    assert (c.strategy, c.include_exact_roots, c.structural, c.purity, c.min_cluster_size, c.aliases["deps"]) == ("namespace", False, False, False, 4, "third-party")
+    assert [c.family(x) and c.family(x).name for x in ("runtime/a", "runtime/test/a", "node_x", "z")] == ["runtime", "node", "node", None]
+    assert c.constraints[0].left == ["core", "core/**"] and parse_config("[clustering]\nworkspace_split_threshold = 9").clustering.split_threshold == 9
+
+
 def names(cs):
     return {c.name: c.members for c in cs}
 

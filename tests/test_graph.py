@@ -4,9 +4,13 @@ import random
 
 import pytest
 
+from graphdrift.config import parse_config
 from graphdrift.operators import graph_algorithms as A
-from graphdrift.operators.graph_ops import BOUNDARY, COGNITIVE, COUPLING, CYCLE, DRIFT, FAN_DELTA, HUB, INSTABILITY, LAYERING  # noqa: F401
 from graphdrift.operators.scc_native import scc_native
+from graphdrift.operators.scoring import boundary_list, diagnostics, drift
+
+
+FRAME = "snapshot_id string, repo_id string, commit_hash string, scan_order bigint, frame_ts bigint"
 
 
 def ring(n):
@@ -55,7 +59,9 @@ def frames(spark, graphs):
 def test_score_goldens(spark):
     edges, nodes = frames(spark, {k: v[0] for k, v in GOLDEN.items()})
     scc = A.scc(edges, nodes).cache()
-    rows = spark.sql(DRIFT, edges=edges, nodes=nodes, scc=scc).collect()
+    fr = spark.createDataFrame([(k, k, "c", i, i) for i, k in enumerate([*GOLDEN, "nothing"])], FRAME)
+    rows = drift(edges, nodes, fr, scc).collect()
+    assert [tuple(r)[1:8] for r in rows if r["snapshot_id"] == "nothing"] == [(len(GOLDEN), 0, 0, 0, 0, 0, 0)]
     got = {r["snapshot_id"]: tuple(r[c] for c in ("total", "cycle_debt", "layering_debt", "hub_debt", "coupling_debt", "cognitive_debt", "instability_debt")) for r in rows}
     for name, (_, *want) in GOLDEN.items():
         assert got[name] == pytest.approx(tuple(want), abs=0.051), name
@@ -73,7 +79,33 @@ def test_native_components_equal_grouped(spark):
 def test_empty_graph(spark):
     edges, nodes = frames(spark, {})
     assert A.scc(edges, nodes).collect() == [] and scc_native(edges, nodes).collect() == []
-    assert spark.sql(DRIFT, edges=edges, nodes=nodes, scc=A.scc(edges, nodes)).collect() == []
+    assert drift(edges, nodes, spark.createDataFrame([], FRAME), A.scc(edges, nodes)).collect() == []
+    assert diagnostics(edges, nodes, A.scc(edges, nodes)).collect() == []
+
+
+def test_scores_by_configuration(spark):
+    """Weights, exemptions, thresholds and boundaries change what they should, and the higher of both layering scores counts."""
+    edges, nodes = frames(spark, {"god": _god, "back": _l343})
+    scc, fr = A.scc(edges, nodes).cache(), spark.createDataFrame([("god", "r", "c0", 0, 5), ("back", "r", "c1", 1, 6)], FRAME)
+
+    def run(text):
+        return {r["snapshot_id"]: r for r in drift(edges, nodes, fr, scc, parse_config(text).scoring).collect()}
+
+    plain = run("")
+    assert plain["god"]["hub_debt"] == 59.6 and plain["god"]["total"] == 9 and plain["back"]["timestamp"] == 6
+    assert run('[scoring.exemptions]\nhub_exempt = ["go"]')["god"]["hub_debt"] == 0
+    assert run("[scoring.thresholds]\nentry_point_max_fan_in = 15")["god"]["hub_debt"] == 0
+    only = run("[scoring.weights]\ncycle = 0\nlayering = 0\nhub = 1\ncoupling = 0\ncognitive = 0\ninstability = 0")
+    assert only["god"]["total"] == 60 and only["back"]["total"] == 0
+    rules = parse_config('[[scoring.boundaries]]\nfrom = "god"\ndeny = ["d*"]\n[[scoring.boundaries]]\nfrom = "*"\ndeny = ["d1"]').scoring
+    got = {r["snapshot_id"]: r for r in drift(edges, nodes, fr, scc, rules).collect()}
+    assert got["god"]["boundary_violations"] == 10 and got["god"]["layering_violations"] == 0
+    assert got["god"]["layering_debt"] == pytest.approx(round(100 * (1 - math.exp(-3 * 10 / 25)), 1))
+    assert got["back"]["layering_debt"] == 87.6 and got["back"]["boundary_violations"] == 0
+    listed = boundary_list(edges, rules, shown=3).collect()
+    assert [(r["rank"], r["to_module"], r["n_found"]) for r in sorted(listed, key=lambda r: r["rank"])] == [(1, "d0", 10), (2, "d1", 10), (3, "d2", 10)]
+    found = {(r["rule_id"], r["args"]) for r in diagnostics(edges, nodes, scc, rules).where("snapshot_id = 'god'").collect()}
+    assert ("hub", "god 15 10") in found and ("boundary", "10") in found
 
 
 CHAIN = {("A", "B"): 1, ("B", "C"): 1, ("C", "D"): 1}
