@@ -1,106 +1,225 @@
-"""Store queries over commits and frames, as SQL text over {frames} and {commit_rows}; all repositories at once.
+"""Store queries over commits and frames, all repositories at once.
 
-Lists are newest first by scan_order and cut per repository by the feature's own top-k (`P`). Empty tables give no rows.
+Functions take the frames and the commit rows of a store (one row each) and give one DataFrame. Lists are newest first by
+scan_order, equal ones by hash, and cut per repository by the feature's own top-k. Earlier frames are reached by offsets
+within an ordered window, so no frame is joined with another. Empty tables give no rows.
 """
 
 from __future__ import annotations
 
-LIST_LIMIT, TREND_LIMIT, PREVIOUS_LIMIT, SAMPLES = 10, 20, 3, 20
-_NEWEST = "row_number() OVER (PARTITION BY f.repo_id ORDER BY f.scan_order DESC, f.commit_hash DESC)"
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+LIST_LIMIT, TREND_LIMIT, PREVIOUS_LIMIT, SAMPLES, TREND_SHOWN, PAGE = 10, 20, 3, 20, 50, 10
+ANALYSIS_VERSION, NO_TOTAL, CHECKPOINT_EVERY = 3, 50, 20
+DEBTS = ("cycle", "layering", "hub", "coupling", "cognitive", "instability")
+
+_FRAMES = Window.partitionBy("repo_id").orderBy("scan_order", "commit_hash")
+_NEWEST = Window.partitionBy("repo_id").orderBy(F.col("scan_order").desc(), F.col("commit_hash").desc())
+_LINEAGE = Window.partitionBy("repo_id").orderBy(F.col("scan_order").desc(), F.col("hash").desc())
+_REPO = Window.partitionBy("repo_id")
+
+
+def newest(frames: DataFrame, k: int) -> DataFrame:
+    """The k newest frames of each repository, with their position `rn` from 1."""
+    return frames.withColumn("rn", F.row_number().over(_NEWEST)).where(F.col("rn") <= k)
+
+
+def with_commit(frames: DataFrame, commits: DataFrame, *cols: str) -> DataFrame:
+    return frames.join(commits.select("repo_id", F.col("hash").alias("commit_hash"), *cols), ["repo_id", "commit_hash"])
+
+
+def list_graphs(f: DataFrame, c: DataFrame) -> DataFrame:
+    shown = newest(with_commit(f, c, "author_name", "message"), LIST_LIMIT)
+    return shown.select("repo_id", "commit_hash", "scan_order", "node_count", "edge_count", "author_name", "message", "frame_ts")
+
+
+def drift_trend(f: DataFrame, c: DataFrame) -> DataFrame:
+    shown = newest(with_commit(f.select("repo_id", "commit_hash", "scan_order", "total"), c), TREND_LIMIT)
+    return shown.select("repo_id", "commit_hash", "scan_order", "total", (F.col("total") - F.lag("total").over(_FRAMES)).alias("delta"))
+
+
+def previous_snapshot(f: DataFrame, c: DataFrame) -> DataFrame:
+    before = [F.lag(x).over(_FRAMES).alias(n) for x, n in (("commit_hash", "previous_hash"), ("scan_order", "previous_order"))]
+    return f.select("repo_id", "commit_hash", "scan_order", *before)
+
+
+def _offsets(f: DataFrame, steps: range, *cols: str) -> DataFrame:
+    """Each frame once for every step back that exists, with `step` and the columns `then_...` of the earlier frame."""
+    back = F.array(*[F.struct(F.lit(i).alias("step"), *[F.lag(c, i).over(_FRAMES).alias(f"then_{c}") for c in cols]) for i in steps])
+    each = f.withColumn("back", back).withColumn("x", F.explode("back"))
+    return each.select("*", "x.*").where("then_commit_hash IS NOT NULL").drop("x", "back")
+
+
+def previous_drift(f: DataFrame, c: DataFrame) -> DataFrame:
+    rows = _offsets(f.select("repo_id", "commit_hash", "scan_order", "total"), range(1, PREVIOUS_LIMIT + 1), "commit_hash", "total")
+    return rows.select("repo_id", "commit_hash", F.col("then_commit_hash").alias("previous_hash"), F.col("step").alias("steps_back"), (F.col("total") - F.col("then_total")).alias("total_change"))
+
+
+def trend(f: DataFrame, c: DataFrame) -> DataFrame:
+    """For each frame the last TREND_SHOWN frames up to it: a ROWS window collects them, so none is joined."""
+    w = _FRAMES.rowsBetween(1 - TREND_SHOWN, Window.currentRow)
+    place = F.row_number().over(_FRAMES)
+    numbered = f.select("repo_id", "commit_hash", "scan_order", "total", place.alias("position"))
+    item = F.struct(F.col("commit_hash").alias("shown_hash"), "position", F.coalesce("total", F.lit(NO_TOTAL)).alias("total"))
+    shown = numbered.select("repo_id", "commit_hash", F.collect_list(item).over(w).alias("shown"))
+    return shown.select("repo_id", "commit_hash", F.explode("shown").alias("x")).select("repo_id", "commit_hash", "x.*")
+
+
+def sampled_meta(f: DataFrame, c: DataFrame) -> DataFrame:
+    """SAMPLES frames spread evenly over the repository's frames: of every step the first frame that it reaches."""
+    pos, n = F.row_number().over(_NEWEST) - 1, F.count("*").over(_REPO)
+    at = f.select("repo_id", "commit_hash", "scan_order", pos.alias("pos"), n.alias("n"))
+    wanted = F.transform(F.sequence(F.lit(0), F.lit(SAMPLES - 1)), lambda i: F.floor(i * (F.col("n") - 1) / F.lit(float(SAMPLES - 1))))
+    return at.where((F.col("n") <= SAMPLES) | F.array_contains(wanted, F.col("pos").cast("bigint"))).select("repo_id", "commit_hash", "scan_order")
+
+
+def counts(f: DataFrame, c: DataFrame) -> DataFrame:
+    both = c.select("repo_id", F.lit(1).alias("c"), F.lit(0).alias("f")).unionByName(f.select("repo_id", F.lit(0).alias("c"), F.lit(1).alias("f")))
+    return both.groupBy("repo_id").agg(F.sum("c").alias("n_commits"), F.sum("f").alias("n_frames")).where("n_commits > 0")
+
+
+def checkpoint_artifacts(f: DataFrame, c: DataFrame) -> DataFrame:
+    last = F.last(F.when(F.col("has_full_artifacts"), F.col("scan_order")), ignorenulls=True)
+    w = Window.partitionBy("repo_id").orderBy("scan_order").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return f.select("repo_id", "commit_hash", "scan_order", last.over(w).alias("artifacts_order"))
+
+
+def needs_core() -> Column:
+    """Whether a stored analysis is older than the engine, or lacks its fingerprint, its scan's numbers or its score."""
+    old = (F.col("analysis_version") < ANALYSIS_VERSION) | (F.coalesce("config_fingerprint", F.lit("")) == "")
+    return old | ~F.col("has_metadata") | ~F.col("has_drift")
+
+
+def requires_recompute(f: DataFrame, c: DataFrame) -> DataFrame:
+    return f.select("repo_id", "commit_hash", needs_core().alias("core"), (~F.coalesce("has_full_artifacts", F.lit(False))).alias("runtime_insights"))
+
+
+def resolve_analysis(f: DataFrame, c: DataFrame) -> DataFrame:
+    served = F.when(needs_core(), "core").when(F.coalesce("has_full_artifacts", F.lit(False)), "stored").otherwise("runtime")
+    return f.select("repo_id", "commit_hash", served.alias("served"))
+
+
+def trend_direction(f: DataFrame, c: DataFrame) -> DataFrame:
+    now = F.coalesce("total", F.lit(NO_TOTAL))
+    change = now - F.lag(now).over(_FRAMES)
+    return f.select("repo_id", "commit_hash", F.when(change < 0, "improving").when(change > 0, "degrading").otherwise("stable").alias("direction"))
+
+
+def health_stats(f: DataFrame, c: DataFrame) -> DataFrame:
+    h = F.greatest(F.lit(0), 100 - F.coalesce("total", F.lit(NO_TOTAL)))
+    return f.groupBy("repo_id").agg(F.min(h).alias("least"), F.max(h).alias("most"), F.floor(F.sum(h) / F.count("*")).alias("mean"))
+
+
+def timeline_seek(f: DataFrame, c: DataFrame) -> DataFrame:
+    at = f.select("repo_id", "commit_hash", "scan_order", F.row_number().over(_NEWEST).alias("rn"), F.count("*").over(_REPO).alias("n"))
+    to = lambda step: F.greatest(F.lit(1), F.least("n", F.col("rn") + step))
+    return at.select("repo_id", "commit_hash", "scan_order", to(-1).alias("newer"), to(1).alias("older"), to(-PAGE).alias("jump_newer"), to(PAGE).alias("jump_older"))
+
+
+def recommendations(f: DataFrame, c: DataFrame) -> DataFrame:
+    """Advice from stored scores: components above 20, what a low total says, and 'none' where neither applies."""
+    parts = [F.struct(F.lit(d).alias("rule_id"), F.col(f"{d}_debt").alias("score")) for d in DEBTS]
+    total = F.col("total").cast("double")
+    low = F.struct(F.when(F.col("total") <= 15, "total_low").otherwise("total_fair").alias("rule_id"), total.alias("score"))
+    quiet = F.col("has_drift") & (F.col("total") > 30) & (F.greatest(*[f"{d}_debt" for d in DEBTS]) <= 20)
+    rows = F.concat(F.filter(F.array(*parts), lambda x: x["score"] > 20), F.when(F.col("total") <= 30, F.array(low)).otherwise(F.array()), F.when(quiet, F.array(F.struct(F.lit("none").alias("rule_id"), total.alias("score")))).otherwise(F.array()))
+    return f.select("repo_id", "commit_hash", F.explode(rows).alias("x")).select("repo_id", "commit_hash", "x.rule_id", "x.score")
+
+
+def worst_component(f: DataFrame, c: DataFrame) -> DataFrame:
+    """The component with the greatest debt; of equal ones the last in their order."""
+    worst = F.array_max(F.array(*[F.struct(F.col(f"{d}_debt").alias("debt"), F.lit(i).alias("place"), F.lit(d).alias("name")) for i, d in enumerate(DEBTS)]))["name"]
+    advice = F.when(F.col("total") <= 15, "great").when(F.col("total") <= 30, "healthy").when(F.col("total") <= 55, "attention").otherwise("urgent")
+    return f.where("has_drift").select("repo_id", "commit_hash", "total", worst.alias("worst"), advice.alias("advice"))
+
+
+def lineage(c: DataFrame) -> DataFrame:
+    """Commits with `pos`, their place from the newest, and `n`, the number of the repository's commits."""
+    return c.select("repo_id", "hash", F.row_number().over(_LINEAGE).alias("pos"), F.count("*").over(_REPO).alias("n"))
+
+
+def scanned(f: DataFrame, c: DataFrame) -> DataFrame:
+    """lineage with `stop`, the place of the repository's newest commit that has a frame (null where none has)."""
+    known = f.select("repo_id", F.col("commit_hash").alias("hash"), F.lit(True).alias("known"))
+    return lineage(c).join(known, ["repo_id", "hash"], "left").withColumn("stop", F.min(F.when(F.col("known"), F.col("pos"))).over(_REPO))
+
+
+def plan_incremental(f: DataFrame, c: DataFrame) -> DataFrame:
+    never = F.coalesce("stop", F.lit(10**9))
+    base = F.max(F.when(F.col("pos") == F.least(never, F.lit(TREND_LIMIT + 1)), F.col("hash")))
+    return scanned(f, c).groupBy("repo_id").agg(
+        F.count_if((F.col("pos") < never) & (F.col("pos") <= TREND_LIMIT)).alias("n_new"),
+        ((F.max(never) > TREND_LIMIT + 1) & (F.max("pos") > TREND_LIMIT)).alias("truncated"), F.max("stop").isNotNull().alias("reached_stop"), base.alias("baseline_hash"),
+    )
+
+
+def action(f: DataFrame, c: DataFrame) -> DataFrame:
+    stop = F.col("stop")
+    what = F.when(stop == 1, "skip").when(stop.isNull(), "rebuild_full").when(stop > TREND_LIMIT + 1, "rebuild_window").otherwise("append")
+    return scanned(f, c).groupBy("repo_id").agg(F.max("stop").alias("stop")).select("repo_id", what.alias("action"))
+
+
+def depth(f: DataFrame, c: DataFrame) -> DataFrame:
+    return scanned(f, c).where("pos = 1").select("repo_id", F.when(F.col("known"), F.col("n")).alias("depth"))
+
+
+def invalidate(f: DataFrame, c: DataFrame) -> DataFrame:
+    """Whether a repository's store must be cleared: the newest frame is of an older engine or has another fingerprint than
+    the first one."""
+    first = F.first("config_fingerprint").over(_FRAMES.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    old = (F.col("analysis_version") < ANALYSIS_VERSION) | (F.coalesce("config_fingerprint", F.lit("")) == "") | (F.col("config_fingerprint") != F.col("first"))
+    return newest(f.withColumn("first", first), 1).select("repo_id", old.alias("clear_all"))
+
+
+def checkpoints(f: DataFrame, c: DataFrame) -> DataFrame:
+    """The frames whose whole state is stored: the first, every CHECKPOINT_EVERY-th and the last one of each repository."""
+    at = f.withColumn("k", F.row_number().over(_FRAMES)).withColumn("n", F.count("*").over(_REPO))
+    return at.where(f"k = 1 OR k % {CHECKPOINT_EVERY} = 0 OR k = n").select("repo_id", "commit_hash", "scan_order")
+
+
+def baseline(f: DataFrame, c: DataFrame) -> DataFrame:
+    last = newest(f, 1).select("repo_id", F.col("commit_hash").alias("state_hash"))
+    head = lineage(c).where("pos = 1").select("repo_id", "hash")
+    return head.join(last, "repo_id").select("repo_id", (F.col("hash") == F.col("state_hash")).alias("reuse_state"), "state_hash")
+
+
+def commit_meta(f: DataFrame, c: DataFrame) -> DataFrame:
+    text = {"author_name": "unknown", "author_email": "unknown", "message": ""}
+    return c.fillna(text).fillna({"commit_ts": 0}).select("repo_id", "hash", "author_name", "author_email", "commit_ts", "message", "tree_id")
+
 
 OPS = {
-    "q_list_graphs": f"""
-        SELECT repo_id, commit_hash, scan_order, node_count, edge_count, author_name, message, frame_ts FROM (
-          SELECT f.repo_id, f.commit_hash, f.scan_order, f.node_count, f.edge_count, c.author_name, c.message, f.frame_ts, {_NEWEST} AS rn
-          FROM {{frames}} f JOIN {{commit_rows}} c ON c.repo_id = f.repo_id AND c.hash = f.commit_hash) WHERE rn <= {LIST_LIMIT}""",
-    "q_drift_trend": f"""
-        WITH shown AS (SELECT * FROM (SELECT f.repo_id, f.commit_hash, f.scan_order, f.total, {_NEWEST} AS rn
-          FROM {{frames}} f JOIN {{commit_rows}} c ON c.repo_id = f.repo_id AND c.hash = f.commit_hash) WHERE rn <= {TREND_LIMIT})
-        SELECT repo_id, commit_hash, scan_order, total, total - lag(total) OVER (PARTITION BY repo_id ORDER BY scan_order, commit_hash) AS delta FROM shown""",
-    "q_latest_scanned": f"SELECT repo_id, commit_hash, scan_order FROM (SELECT f.repo_id, f.commit_hash, f.scan_order, {_NEWEST} AS rn FROM {{frames}} f) WHERE rn = 1",
-    "q_scan_order": "SELECT repo_id, commit_hash, scan_order FROM {frames}",
-    "q_snapshot_meta": "SELECT repo_id, commit_hash, scan_order, frame_ts, node_count, edge_count, analysis_version, config_fingerprint, has_full_artifacts, total FROM {frames}",
-    "q_previous_snapshot": """
-        SELECT repo_id, commit_hash, scan_order, lag(commit_hash) OVER w AS previous_hash, lag(scan_order) OVER w AS previous_order
-        FROM {frames} WINDOW w AS (PARTITION BY repo_id ORDER BY scan_order, commit_hash)""",
-    "q_previous_drift": f"""
-        SELECT a.repo_id, a.commit_hash, b.commit_hash AS previous_hash, a.rn - b.rn AS steps_back, a.total - b.total AS total_change
-        FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY scan_order, commit_hash) AS rn FROM {{frames}}) a
-        JOIN (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY scan_order, commit_hash) AS rn FROM {{frames}}) b
-          ON a.repo_id = b.repo_id AND b.rn BETWEEN a.rn - {PREVIOUS_LIMIT} AND a.rn - 1""",
-    "q_recent_meta": f"SELECT repo_id, commit_hash, scan_order, node_count, edge_count FROM (SELECT f.*, {_NEWEST} AS rn FROM {{frames}} f) WHERE rn <= {SAMPLES}",
-    "q_sampled_meta": f"""
-        WITH r AS (SELECT f.repo_id, f.commit_hash, f.scan_order, {_NEWEST} - 1 AS pos, count(*) OVER (PARTITION BY f.repo_id) AS n FROM {{frames}} f)
-        SELECT repo_id, commit_hash, scan_order FROM r
-        WHERE n <= {SAMPLES} OR floor(ceil(pos * {SAMPLES - 1} / CAST(n - 1 AS DOUBLE)) * (n - 1) / CAST({SAMPLES - 1} AS DOUBLE)) = pos""",
-    "q_commit_messages": "SELECT f.repo_id, f.commit_hash, c.message FROM {frames} f JOIN {commit_rows} c ON c.repo_id = f.repo_id AND c.hash = f.commit_hash",
-    "q_counts": """
-        SELECT c.repo_id, c.n_commits, coalesce(f.n_frames, 0) AS n_frames FROM (SELECT repo_id, count(*) AS n_commits FROM {commit_rows} GROUP BY repo_id) c
-        LEFT JOIN (SELECT repo_id, count(*) AS n_frames FROM {frames} GROUP BY repo_id) f ON f.repo_id = c.repo_id""",
-    "q_checkpoint_artifacts": """
-        SELECT repo_id, commit_hash, scan_order, max(CASE WHEN has_full_artifacts THEN scan_order END)
-          OVER (PARTITION BY repo_id ORDER BY scan_order ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS artifacts_order FROM {frames}""",
-    "q_load_scan_state": f"SELECT repo_id, commit_hash AS last_hash, scan_order AS last_order, node_count, edge_count FROM (SELECT f.*, {_NEWEST} AS rn FROM {{frames}} f) WHERE rn = 1",
-    "q_requires_recompute": """
-        SELECT repo_id, commit_hash, analysis_version < 3 OR coalesce(config_fingerprint, '') = '' OR NOT has_metadata OR NOT has_drift AS core,
-          NOT coalesce(has_full_artifacts, false) AS runtime_insights FROM {frames}""",
-    "rp_trend": """
-        SELECT a.repo_id, a.commit_hash, b.commit_hash AS shown_hash, b.rn AS position, coalesce(b.total, 50) AS total
-        FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY scan_order, commit_hash) AS rn FROM {frames}) a
-        JOIN (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY scan_order, commit_hash) AS rn FROM {frames}) b
-          ON a.repo_id = b.repo_id AND b.rn BETWEEN a.rn - 49 AND a.rn""",
-    "rp_trend_direction": """
-        WITH t AS (SELECT repo_id, commit_hash, coalesce(total, 50) AS now, lag(coalesce(total, 50)) OVER (PARTITION BY repo_id ORDER BY scan_order, commit_hash) AS before FROM {frames})
-        SELECT repo_id, commit_hash, CASE WHEN now < before THEN 'improving' WHEN now > before THEN 'degrading' ELSE 'stable' END AS direction FROM t""",
-    "rp_health_stats": """
-        SELECT repo_id, min(h) AS least, max(h) AS most, CAST(floor(avg(h)) AS BIGINT) AS mean FROM (SELECT repo_id, greatest(0, 100 - coalesce(total, 50)) AS h FROM {frames}) GROUP BY repo_id""",
-    "rp_resolve_analysis": """
-        SELECT repo_id, commit_hash, CASE WHEN analysis_version < 3 OR coalesce(config_fingerprint, '') = '' OR NOT has_metadata OR NOT has_drift THEN 'core'
-          WHEN NOT coalesce(has_full_artifacts, false) THEN 'runtime' ELSE 'stored' END AS served FROM {frames}""",
-    "rp_timeline_seek": """
-        SELECT repo_id, commit_hash, scan_order, greatest(1, rn - 1) AS newer, least(n, rn + 1) AS older, greatest(1, rn - 10) AS jump_newer, least(n, rn + 10) AS jump_older FROM (
-          SELECT repo_id, commit_hash, scan_order, row_number() OVER (PARTITION BY repo_id ORDER BY scan_order DESC, commit_hash DESC) AS rn, count(*) OVER (PARTITION BY repo_id) AS n FROM {frames})""",
-    "sc_recommendations": """
-        WITH c AS (SELECT repo_id, commit_hash, total, 'cycle' AS component, cycle_debt AS score FROM {frames} UNION ALL SELECT repo_id, commit_hash, total, 'layering', layering_debt FROM {frames}
-          UNION ALL SELECT repo_id, commit_hash, total, 'hub', hub_debt FROM {frames} UNION ALL SELECT repo_id, commit_hash, total, 'coupling', coupling_debt FROM {frames}
-          UNION ALL SELECT repo_id, commit_hash, total, 'cognitive', cognitive_debt FROM {frames} UNION ALL SELECT repo_id, commit_hash, total, 'instability', instability_debt FROM {frames})
-        SELECT repo_id, commit_hash, component AS rule_id, score FROM c WHERE score > 20
-        UNION ALL SELECT repo_id, commit_hash, CASE WHEN total <= 15 THEN 'total_low' ELSE 'total_fair' END, CAST(total AS DOUBLE) FROM {frames} WHERE total <= 30
-        UNION ALL SELECT repo_id, commit_hash, 'none', CAST(total AS DOUBLE) FROM {frames} WHERE has_drift AND total > 30 AND greatest(cycle_debt, layering_debt, hub_debt, coupling_debt, cognitive_debt, instability_debt) <= 20""",
-    "sc_worst_component": """
-        SELECT repo_id, commit_hash, total, worst, CASE WHEN total <= 15 THEN 'great' WHEN total <= 30 THEN 'healthy' WHEN total <= 55 THEN 'attention' ELSE 'urgent' END AS advice FROM (
-          SELECT *, greatest(cycle_debt, layering_debt, hub_debt, coupling_debt, cognitive_debt, instability_debt) AS most,
-            CASE greatest(cycle_debt, layering_debt, hub_debt, coupling_debt, cognitive_debt, instability_debt) WHEN instability_debt THEN 'instability' WHEN cognitive_debt THEN 'cognitive'
-              WHEN coupling_debt THEN 'coupling' WHEN hub_debt THEN 'hub' WHEN layering_debt THEN 'layering' ELSE 'cycle' END AS worst FROM {frames} WHERE has_drift)""",
-    "src_commit_count": "SELECT repo_id, count(*) AS n_commits FROM {commit_rows} GROUP BY repo_id",
-    "src_commits": "SELECT repo_id, hash, row_number() OVER (PARTITION BY repo_id ORDER BY scan_order, hash) AS lineage_order FROM {commit_rows}",
-    "src_commit_meta": "SELECT repo_id, hash, coalesce(author_name, 'unknown') AS author_name, coalesce(author_email, 'unknown') AS author_email, coalesce(commit_ts, 0) AS commit_ts, coalesce(message, '') AS message, tree_id FROM {commit_rows}",
-    "src_plan_incremental": f"""
-        WITH c AS (SELECT repo_id, hash, row_number() OVER (PARTITION BY repo_id ORDER BY scan_order DESC, hash DESC) AS pos FROM {{commit_rows}}),
-        stop AS (SELECT c.repo_id, min(c.pos) AS stop_pos FROM c JOIN {{frames}} f ON f.repo_id = c.repo_id AND f.commit_hash = c.hash GROUP BY c.repo_id)
-        SELECT c.repo_id, count_if(c.pos < coalesce(s.stop_pos, 1000000000) AND c.pos <= {TREND_LIMIT}) AS n_new, coalesce(max(s.stop_pos), 1000000000) > {TREND_LIMIT} + 1 AND max(c.pos) > {TREND_LIMIT} AS truncated,
-          max(s.stop_pos) IS NOT NULL AS reached_stop, max(CASE WHEN c.pos = least(coalesce(s.stop_pos, 1000000000), {TREND_LIMIT} + 1) THEN c.hash END) AS baseline_hash
-        FROM c LEFT JOIN stop s ON s.repo_id = c.repo_id GROUP BY c.repo_id""",
-    "src_commits_since": """
-        WITH c AS (SELECT repo_id, hash, row_number() OVER (PARTITION BY repo_id ORDER BY scan_order DESC, hash DESC) AS pos FROM {commit_rows}),
-        stop AS (SELECT c.repo_id, min(c.pos) AS stop_pos FROM c JOIN {frames} f ON f.repo_id = c.repo_id AND f.commit_hash = c.hash GROUP BY c.repo_id)
-        SELECT c.repo_id, c.hash, c.pos FROM c JOIN stop s ON s.repo_id = c.repo_id WHERE c.pos < s.stop_pos""",
-    "inc_action": """
-        WITH c AS (SELECT repo_id, hash, row_number() OVER (PARTITION BY repo_id ORDER BY scan_order DESC, hash DESC) AS pos, count(*) OVER (PARTITION BY repo_id) AS n FROM {commit_rows}),
-        p AS (SELECT c.repo_id, max(c.n) AS n, min(CASE WHEN f.commit_hash IS NOT NULL THEN c.pos END) AS stop_pos FROM c LEFT JOIN {frames} f ON f.repo_id = c.repo_id AND f.commit_hash = c.hash GROUP BY c.repo_id)
-        SELECT repo_id, CASE WHEN stop_pos = 1 THEN 'skip' WHEN stop_pos IS NULL THEN 'rebuild_full' WHEN stop_pos > 21 THEN 'rebuild_window' ELSE 'append' END AS action FROM p""",
-    "inc_depth": """
-        SELECT c.repo_id, CASE WHEN max(CASE WHEN f.commit_hash IS NOT NULL THEN 1 ELSE 0 END) = 1 THEN max(c.n) END AS depth
-        FROM (SELECT repo_id, hash, row_number() OVER (PARTITION BY repo_id ORDER BY scan_order DESC, hash DESC) AS pos, count(*) OVER (PARTITION BY repo_id) AS n FROM {commit_rows}) c
-        LEFT JOIN {frames} f ON f.repo_id = c.repo_id AND f.commit_hash = c.hash AND c.pos = 1 GROUP BY c.repo_id""",
-    "inc_invalidate": f"""
-        SELECT repo_id, analysis_version < 3 OR coalesce(config_fingerprint, '') = '' OR config_fingerprint <> first_print AS clear_all FROM (
-          SELECT f.repo_id, f.analysis_version, f.config_fingerprint, {_NEWEST} AS rn, first_value(f.config_fingerprint) OVER (PARTITION BY f.repo_id ORDER BY f.scan_order, f.commit_hash) AS first_print FROM {{frames}} f) WHERE rn = 1""",
-    "inc_detail": "SELECT repo_id, commit_hash, scan_order = max(scan_order) OVER (PARTITION BY repo_id) AS full_artifacts FROM {frames}",
-    "inc_checkpoint": """
-        SELECT repo_id, commit_hash, scan_order FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY scan_order, commit_hash) AS k, count(*) OVER (PARTITION BY repo_id) AS n FROM {frames})
-        WHERE k = 1 OR k % 20 = 0 OR k = n""",
-    "inc_baseline": f"""
-        SELECT c.repo_id, c.hash = f.commit_hash AS reuse_state, f.commit_hash AS state_hash FROM (SELECT repo_id, max_by(hash, scan_order) AS hash FROM {{commit_rows}} GROUP BY repo_id) c
-        JOIN (SELECT repo_id, commit_hash FROM (SELECT f.*, {_NEWEST} AS rn FROM {{frames}} f) WHERE rn = 1) f ON f.repo_id = c.repo_id""",
+    "q_list_graphs": list_graphs,
+    "q_drift_trend": drift_trend,
+    "q_latest_scanned": lambda f, c: newest(f, 1).select("repo_id", "commit_hash", "scan_order"),
+    "q_scan_order": lambda f, c: f.select("repo_id", "commit_hash", "scan_order"),
+    "q_snapshot_meta": lambda f, c: f.select("repo_id", "commit_hash", "scan_order", "frame_ts", "node_count", "edge_count", "analysis_version", "config_fingerprint", "has_full_artifacts", "total"),
+    "q_previous_snapshot": previous_snapshot,
+    "q_previous_drift": previous_drift,
+    "q_recent_meta": lambda f, c: newest(f, SAMPLES).select("repo_id", "commit_hash", "scan_order", "node_count", "edge_count"),
+    "q_sampled_meta": sampled_meta,
+    "q_commit_messages": lambda f, c: with_commit(f.select("repo_id", "commit_hash"), c, "message"),
+    "q_counts": counts,
+    "q_checkpoint_artifacts": checkpoint_artifacts,
+    "q_load_scan_state": lambda f, c: newest(f, 1).select("repo_id", F.col("commit_hash").alias("last_hash"), F.col("scan_order").alias("last_order"), "node_count", "edge_count"),
+    "q_requires_recompute": requires_recompute,
+    "rp_trend": trend,
+    "rp_trend_direction": trend_direction,
+    "rp_health_stats": health_stats,
+    "rp_resolve_analysis": resolve_analysis,
+    "rp_timeline_seek": timeline_seek,
+    "sc_recommendations": recommendations,
+    "sc_worst_component": worst_component,
+    "src_commit_count": lambda f, c: c.groupBy("repo_id").agg(F.count("*").alias("n_commits")),
+    "src_commits": lambda f, c: c.select("repo_id", "hash", F.row_number().over(Window.partitionBy("repo_id").orderBy("scan_order", "hash")).alias("lineage_order")),
+    "src_commit_meta": commit_meta,
+    "src_plan_incremental": plan_incremental,
+    "src_commits_since": lambda f, c: scanned(f, c).where("pos < stop").select("repo_id", "hash", "pos"),
+    "inc_action": action,
+    "inc_depth": depth,
+    "inc_invalidate": invalidate,
+    "inc_detail": lambda f, c: f.select("repo_id", "commit_hash", (F.row_number().over(_NEWEST) == 1).alias("full_artifacts")),
+    "inc_checkpoint": checkpoints,
+    "inc_baseline": baseline,
 }

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from ..operators.store_queries import OPS
-from .model import duck, run
+from .model import commit_rows, duck, frames
+from .store_sql import OPS as SQL
 
-QUERIES = {n: (lambda s, d, t=t: run(s, d, t)) for n, t in OPS.items()}
-ORACLES = {n: duck(t) for n, t in OPS.items()}
+QUERIES = {n: (lambda s, d, f=f: f(frames(s, d), commit_rows(s, d))) for n, f in OPS.items()}
+ORACLES = {n: duck(SQL[n]) for n in OPS}
