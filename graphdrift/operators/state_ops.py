@@ -1,61 +1,115 @@
-"""File states, versions and their projection to a graph, as SQL text over {file_rows} and {frames}.
+"""File states and their projection to a graph.
 
-{file_rows} has one row (repo_id, frame_no, path, package_name, module_name, weight) for each import of a file in a frame;
-frame_no counts a repository's frames from 1. A file's version is valid from the frame it changed in up to the next change.
+`rows` has one row (repo_id, frame_no, path, package_name, module_name, weight) for each import of a file in a frame;
+frame_no counts a repository's frames from 1. All frames are projected at once.
 """
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions.labels import FIXED_PREFIXES, FIXED_ROOTS
+
+#: Importers that make an external module visible, samples kept for an edge, and modules left out that are named.
 MIN_IMPORTERS, SAMPLES, FILTERED = 3, 5, 10
+FRAME = ["repo_id", "frame_no"]
+
+
+def internal_nodes(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(*FRAME, F.col("package_name").alias("module_name")).agg(F.countDistinct("path").alias("n_files"))
+
+
+def edge_weights(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(*FRAME, F.col("package_name").alias("from_module"), F.col("module_name").alias("to_module")).agg(F.sum("weight").alias("weight"))
+
+
+def edge_samples(rows: DataFrame) -> DataFrame:
+    """The first SAMPLES paths of each edge, by name."""
+    edge = [*FRAME, "from_module", "to_module"]
+    paths = rows.select(*FRAME, F.col("package_name").alias("from_module"), F.col("module_name").alias("to_module"), "path").distinct()
+    ranked = paths.withColumn("rank", F.row_number().over(Window.partitionBy(*edge).orderBy("path")))
+    return ranked.where(F.col("rank") <= SAMPLES).select(*edge, "rank", "path")
+
+
+def target_importers(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(*FRAME, "module_name").agg(F.countDistinct("package_name").alias("importer_count"))
+
+
+def externals(rows: DataFrame) -> DataFrame:
+    """(frame, module_name, importer_count) of imported modules that no file belongs to."""
+    return target_importers(rows).join(internal_nodes(rows), [*FRAME, "module_name"], "left_anti")
+
+
+def visible(rows: DataFrame) -> DataFrame:
+    return externals(rows).where(F.col("importer_count") >= MIN_IMPORTERS)
+
+
+def node_metadata(rows: DataFrame) -> DataFrame:
+    own = internal_nodes(rows).select(*FRAME, "module_name", F.lit("internal").alias("node_kind"), F.lit(None).cast("bigint").alias("importer_count"))
+    return own.unionByName(visible(rows).select(*FRAME, "module_name", F.lit("external").alias("node_kind"), "importer_count"))
+
+
+def project_nodes(rows: DataFrame) -> DataFrame:
+    return node_metadata(rows).select(*FRAME, "module_name")
+
+
+def project(rows: DataFrame) -> DataFrame:
+    """Edges between kept modules. Every source is one, so only targets that are hidden externals or the source itself go."""
+    hidden = externals(rows).where(F.col("importer_count") < MIN_IMPORTERS).select(*FRAME, F.col("module_name").alias("to_module"))
+    return edge_weights(rows).where("weight > 0 AND from_module != to_module").join(hidden, [*FRAME, "to_module"], "left_anti").select(*FRAME, "from_module", "to_module", "weight")
+
+
+def scan_metadata(rows: DataFrame) -> DataFrame:
+    seen = F.col("importer_count") >= MIN_IMPORTERS
+    return externals(rows).groupBy(*FRAME).agg(
+        F.lit(MIN_IMPORTERS).alias("external_min_importers"), F.count_if(seen).alias("included_external_count"), F.count_if(~seen).alias("filtered_external_count")
+    )
+
+
+def filtered_samples(rows: DataFrame) -> DataFrame:
+    few = externals(rows).where(F.col("importer_count") < MIN_IMPORTERS)
+    ranked = few.withColumn("rank", F.row_number().over(Window.partitionBy(*FRAME).orderBy(F.col("importer_count").desc(), "module_name")))
+    return ranked.where(F.col("rank") <= FILTERED).select(*FRAME, "module_name", "importer_count", "rank")
+
+
+def incremental(rows: DataFrame) -> DataFrame:
+    """(frame, from_module, to_module, change, weight): the change of each edge's weight in a frame that has or had it, and the sum
+    of all changes so far."""
+    last = rows.groupBy("repo_id").agg(F.max("frame_no").alias("n"))
+    sides = F.array(F.struct(F.col("frame_no").alias("at"), F.col("weight").alias("w")), F.struct((F.col("frame_no") + 1).alias("at"), (-F.col("weight")).alias("w")))
+    edge = ["repo_id", "from_module", "to_module"]
+    signed = rows.join(last, "repo_id").select("repo_id", "n", F.col("package_name").alias("from_module"), F.col("module_name").alias("to_module"), F.explode(sides).alias("x"))
+    change = signed.where("x.at <= n").groupBy(*edge, F.col("x.at").alias("frame_no")).agg(F.sum("x.w").alias("change"))
+    w = Window.partitionBy(*edge).orderBy("frame_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return change.select(*FRAME, "from_module", "to_module", "change", F.sum("change").over(w).alias("weight"))
+
+
+def fallback_internal(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Modules taken for internal where no metadata says so: sources of edges, and names with a slash, of a fixed root, or with a
+    fixed prefix."""
+    name = F.col("module_name")
+    fixed = F.contains(name, F.lit("/")) | name.isin(*FIXED_ROOTS)
+    for p in FIXED_PREFIXES:
+        fixed = fixed | name.startswith(p)
+    return edges.select("snapshot_id", F.col("from_module").alias("module_name")).unionByName(nodes.where(fixed).select("snapshot_id", "module_name")).distinct()
+
+
+def target_counts(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(*FRAME, "path", "package_name").agg(F.count("*").alias("n_targets"), F.sum("weight").alias("n_imports"))
 
-FILE_ROWS = """SELECT f.repo_id, f.frame_no, x.path, x.package_name, x.module_name, max(x.weight) AS weight
-  FROM (SELECT repo_id, commit_hash, row_number() OVER (PARTITION BY repo_id ORDER BY scan_order, commit_hash) AS frame_no FROM {frames}) f
-  JOIN {import_rows} x ON x.repo_id = f.repo_id AND x.commit_hash = f.commit_hash GROUP BY 1, 2, 3, 4, 5"""
-_PATHS = "SELECT DISTINCT repo_id, frame_no, path FROM {file_rows}"
-_STEP = "SELECT repo_id, frame_no + 1 AS frame_no, path, package_name, module_name, weight FROM {file_rows}"
-_LAST = "SELECT repo_id, max(frame_no) AS n FROM {file_rows} GROUP BY 1"
-CHANGES = f"""SELECT d.repo_id, d.frame_no, d.path, CASE WHEN p.path IS NULL THEN 'delete' ELSE 'upsert' END AS op
-  FROM (SELECT DISTINCT repo_id, frame_no, path FROM (
-      (SELECT repo_id, frame_no, path, package_name, module_name, weight FROM {{file_rows}} EXCEPT {_STEP})
-      UNION ALL ({_STEP} EXCEPT SELECT repo_id, frame_no, path, package_name, module_name, weight FROM {{file_rows}})) u) d
-  JOIN ({_LAST}) l ON l.repo_id = d.repo_id AND d.frame_no <= l.n
-  LEFT JOIN ({_PATHS}) p ON p.repo_id = d.repo_id AND p.frame_no = d.frame_no AND p.path = d.path"""
-VERSIONS = f"""SELECT repo_id, path, valid_from, valid_to FROM (
-  SELECT repo_id, path, op, frame_no AS valid_from, lead(frame_no) OVER (PARTITION BY repo_id, path ORDER BY frame_no) AS valid_to FROM ({CHANGES}) c) v WHERE op = 'upsert'"""
-INTERNAL = "SELECT repo_id, frame_no, package_name AS module_name, count(DISTINCT path) AS n_files FROM {file_rows} GROUP BY 1, 2, 3"
-WEIGHTS = "SELECT repo_id, frame_no, package_name AS from_module, module_name AS to_module, CAST(sum(weight) AS BIGINT) AS weight FROM {file_rows} GROUP BY 1, 2, 3, 4"
-IMPORTERS = "SELECT repo_id, frame_no, module_name, count(DISTINCT package_name) AS importer_count FROM {file_rows} GROUP BY 1, 2, 3"
-EXTERNAL = f"SELECT t.repo_id, t.frame_no, t.module_name, t.importer_count FROM ({IMPORTERS}) t LEFT JOIN ({INTERNAL}) i ON i.repo_id = t.repo_id AND i.frame_no = t.frame_no AND i.module_name = t.module_name WHERE i.module_name IS NULL"
-VISIBLE = f"SELECT * FROM ({EXTERNAL}) e WHERE importer_count >= {MIN_IMPORTERS}"
-KEPT = f"SELECT repo_id, frame_no, module_name FROM ({INTERNAL}) i UNION ALL SELECT repo_id, frame_no, module_name FROM ({VISIBLE}) v"
 
 OPS = {
-    "src_tree_diff": CHANGES,
-    "src_blob_lookup": f"SELECT c.repo_id, c.frame_no, c.path, s.blob_oid FROM ({CHANGES}) c JOIN {{blobs}} s ON s.repo_id = c.repo_id AND s.path = c.path WHERE c.op = 'upsert'",
-    "st_file_versions": VERSIONS,
-    "st_state_as_of": f"SELECT f.repo_id, f.frame_no, v.path FROM (SELECT DISTINCT repo_id, frame_no FROM {{file_rows}}) f JOIN ({VERSIONS}) v ON v.repo_id = f.repo_id AND v.valid_from <= f.frame_no AND (v.valid_to IS NULL OR f.frame_no < v.valid_to)",
-    "st_apply_delta": f"""SELECT repo_id, frame_no, path FROM (
-        SELECT p.repo_id, p.frame_no + 1 AS frame_no, p.path FROM ({_PATHS}) p JOIN ({_LAST}) l ON l.repo_id = p.repo_id AND p.frame_no < l.n
-          LEFT JOIN ({CHANGES}) c ON c.repo_id = p.repo_id AND c.frame_no = p.frame_no + 1 AND c.path = p.path WHERE c.path IS NULL
-        UNION ALL SELECT repo_id, frame_no, path FROM ({CHANGES}) c WHERE op = 'upsert') s""",
-    "st_internal_nodes": INTERNAL,
-    "st_edge_weights": WEIGHTS,
-    "st_edge_samples": f"SELECT repo_id, frame_no, from_module, to_module, rank, path FROM (SELECT repo_id, frame_no, package_name AS from_module, module_name AS to_module, path, row_number() OVER (PARTITION BY repo_id, frame_no, package_name, module_name ORDER BY path) AS rank FROM (SELECT DISTINCT repo_id, frame_no, package_name, module_name, path FROM {{file_rows}}) p) r WHERE rank <= {SAMPLES}",
-    "st_target_importers": IMPORTERS,
-    "st_visible_external": VISIBLE,
-    "st_project": f"SELECT w.repo_id, w.frame_no, w.from_module, w.to_module, w.weight FROM ({WEIGHTS}) w JOIN ({KEPT}) a ON a.repo_id = w.repo_id AND a.frame_no = w.frame_no AND a.module_name = w.from_module JOIN ({KEPT}) b ON b.repo_id = w.repo_id AND b.frame_no = w.frame_no AND b.module_name = w.to_module WHERE w.weight > 0 AND w.from_module <> w.to_module",
-    "st_project_nodes": KEPT,
-    "st_node_metadata": f"SELECT repo_id, frame_no, module_name, 'internal' AS node_kind, CAST(NULL AS BIGINT) AS importer_count FROM ({INTERNAL}) i UNION ALL SELECT repo_id, frame_no, module_name, 'external', importer_count FROM ({VISIBLE}) v",
-    "st_scan_metadata": f"SELECT repo_id, frame_no, {MIN_IMPORTERS} AS external_min_importers, count_if(importer_count >= {MIN_IMPORTERS}) AS included_external_count, count_if(importer_count < {MIN_IMPORTERS}) AS filtered_external_count FROM ({EXTERNAL}) e GROUP BY 1, 2",
-    "st_filtered_samples": f"SELECT repo_id, frame_no, module_name, importer_count, rank FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, frame_no ORDER BY importer_count DESC, module_name) AS rank FROM ({EXTERNAL}) e WHERE importer_count < {MIN_IMPORTERS}) r WHERE rank <= {FILTERED}",
-    "st_incremental": f"""WITH signed AS (
-          SELECT repo_id, frame_no, package_name, module_name, weight FROM {{file_rows}}
-          UNION ALL SELECT r.repo_id, r.frame_no + 1, r.package_name, r.module_name, -r.weight FROM {{file_rows}} r JOIN ({_LAST}) l ON l.repo_id = r.repo_id AND r.frame_no < l.n),
-        delta AS (SELECT repo_id, frame_no, package_name, module_name, CAST(sum(weight) AS BIGINT) AS change FROM signed GROUP BY 1, 2, 3, 4)
-        SELECT repo_id, frame_no, package_name AS from_module, module_name AS to_module, change, CAST(sum(change) OVER (PARTITION BY repo_id, package_name, module_name ORDER BY frame_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS weight FROM delta""",
-    "st_fallback_internal": "SELECT DISTINCT snapshot_id, module_name FROM (SELECT snapshot_id, from_module AS module_name FROM {edges} UNION ALL SELECT snapshot_id, module_name FROM {nodes} WHERE module_name LIKE '%/%' OR module_name IN ('cli', 'ext', 'libs', 'runtime') OR module_name LIKE 'cli\\_%' OR module_name LIKE 'ext\\_%' OR module_name LIKE 'libs\\_%' OR module_name LIKE 'runtime\\_%' OR module_name LIKE 'deno\\_%') u",
-    "ext_target_counts": "SELECT repo_id, frame_no, path, package_name, count(*) AS n_targets, CAST(sum(weight) AS BIGINT) AS n_imports FROM {file_rows} GROUP BY 1, 2, 3, 4",
+    "st_internal_nodes": internal_nodes,
+    "st_edge_weights": edge_weights,
+    "st_edge_samples": edge_samples,
+    "st_target_importers": target_importers,
+    "st_visible_external": visible,
+    "st_project": project,
+    "st_project_nodes": project_nodes,
+    "st_node_metadata": node_metadata,
+    "st_scan_metadata": scan_metadata,
+    "st_filtered_samples": filtered_samples,
+    "st_incremental": incremental,
+    "ext_target_counts": target_counts,
 }
-OPS["st_fallback_internal"] = OPS["st_fallback_internal"].replace("LIKE 'cli\\_%'", "LIKE 'cli!_%' ESCAPE '!'")
-for _p in ("ext", "libs", "runtime", "deno"):
-    OPS["st_fallback_internal"] = OPS["st_fallback_internal"].replace(f"LIKE '{_p}\\_%'", f"LIKE '{_p}!_%' ESCAPE '!'")

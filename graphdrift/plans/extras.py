@@ -8,19 +8,16 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import globs_regex
 from ..sources.store import Store
-from .model import duck, edges, frames, run
+from .model import duck, frames
 from .runtime import ensure_checkpoint_dir, table
 from .scalars import _SQL_LABELS, _labels
+from .state import _SQL as STATE_SQL
+from .state import stored_state
 
 GLOBS = ("trace/**", "*core*", "{src,reader}/*", "p?l*")
 #: name, globs, priority: of the matching families the one with the highest priority, then most globs, then the first counts.
 FAMILIES = (("tracing", ("trace/**", "*/trace*"), 1), ("base", ("core*", "std*", "log*"), 2), ("short", ("????",), 0), ("all_core", ("*core*",), 2))
 ALIASES = {"core": "Core", "stdkit": "Standard kit"}
-SNAPSHOT = """SELECT f.snapshot_id, f.scan_order, coalesce(n.n, 0) AS n_nodes, coalesce(e.n, 0) AS n_edges, coalesce(e.w, 0) AS weight FROM {frames} f
-  LEFT JOIN (SELECT snapshot_id, count(*) AS n FROM {nodes} GROUP BY 1) n ON n.snapshot_id = f.snapshot_id
-  LEFT JOIN (SELECT snapshot_id, count(*) AS n, CAST(sum(weight) AS BIGINT) AS w FROM {edges} GROUP BY 1) e ON e.snapshot_id = f.snapshot_id"""
-LOADED = "SELECT count(*) AS n_frames, count_if(n_edges = 0 AND n_nodes = 0) AS n_failed FROM (" + SNAPSHOT + ") s"
-
 
 def _ordered_families():
     return [FAMILIES[i] for i in sorted(range(len(FAMILIES)), key=lambda i: (-FAMILIES[i][2], -len(FAMILIES[i][1]), i))]
@@ -77,37 +74,27 @@ def _repositories(s, d):
     return st.read("repositories")
 
 
-def _state(s, d):
-    e = edges(s, d)
-    last = run(s, d, "SELECT snapshot_id, repo_id, commit_hash, scan_order FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY scan_order DESC, commit_hash DESC) AS r FROM {frames}) x WHERE r = 1")
-    rows = e.join(last, "snapshot_id").select("repo_id", "commit_hash", "scan_order", F.col("from_module").alias("path"), F.col("from_module").alias("package_name"), F.col("to_module").alias("module_name"), "weight")
-    return rows
-
-
 QUERIES = {
     "fn_glob_match": lambda s, d: _labels(s, d).where(F.col("label").rlike(globs_regex(GLOBS))),
     "fn_family_match": lambda s, d: _labels(s, d).withColumn("value", _family(F.col("label"))),
     "fn_alias": lambda s, d: _labels(s, d).withColumn("value", _alias(F.col("label"))),
     "fn_fingerprint": lambda s, d: frames(s, d).select("repo_id", "commit_hash", F.get_json_object("config_fingerprint", "$.scan.package_depth").cast("int").alias("package_depth")),
-    "q_snapshot": lambda s, d: run(s, d, SNAPSHOT),
-    "q_load_snapshots": lambda s, d: run(s, d, LOADED),
     "sink_commit": _sink("commits", _stored_commits),
     "sink_frame": _sink("frames", lambda s, d: frames(s, d)),
     "sink_repository": _repositories,
-    "sink_scan_state": _sink("scan_state", _state),
-    "sink_checkpoint": _sink("checkpoints", _state),
+    "sink_scan_state": _sink("scan_state", lambda s, d: stored_state(s, d, last_only=True)),
+    "sink_checkpoint": _sink("checkpoints", stored_state),
 }
-_LAST = "SELECT f.repo_id, f.commit_hash, f.scan_order, e.from_module AS path, e.from_module AS package_name, e.to_module AS module_name, e.weight FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY scan_order DESC, commit_hash DESC) AS r FROM {frames}) f JOIN {edges} e ON e.snapshot_id = f.snapshot_id WHERE f.r = 1"
+_HELD = """SELECT r.repo_id, o.commit_hash, o.scan_order, r.path, r.package_name, r.module_name, r.weight, o.k, o.n FROM {file_rows} r JOIN (
+  SELECT repo_id, commit_hash, scan_order, row_number() OVER (PARTITION BY repo_id ORDER BY scan_order, commit_hash) AS k, count(*) OVER (PARTITION BY repo_id) AS n FROM {frames}) o ON o.repo_id = r.repo_id AND o.k = r.frame_no"""
 ORACLES = {
     "fn_glob_match": f"SELECT * FROM ({_SQL_LABELS}) WHERE regexp_full_match(label, '{_rx(GLOBS)}')",
     "fn_family_match": f"SELECT label, {_SQL_FAMILY} AS value FROM ({_SQL_LABELS})",
     "fn_alias": f"SELECT label, {_SQL_ALIAS} AS value FROM ({_SQL_LABELS})",
     "fn_fingerprint": duck("SELECT repo_id, commit_hash, TRY_CAST(json_extract_string(nullif(config_fingerprint, ''), '$.scan.package_depth') AS INTEGER) AS package_depth FROM {frames}"),
-    "q_snapshot": duck(SNAPSHOT),
-    "q_load_snapshots": duck(LOADED),
     "sink_commit": duck("SELECT repo_id, hash, scan_order, author_name, author_email, message, commit_ts, tree_id FROM {commit_rows}"),
     "sink_frame": duck("SELECT repo_id, commit_hash, scan_order, frame_ts, node_count, edge_count, analysis_version, config_fingerprint, total FROM {frames}"),
     "sink_repository": "SELECT repo_id, repo_root FROM repositories",
-    "sink_scan_state": duck(f"SELECT repo_id, commit_hash, path, package_name, module_name, weight FROM ({_LAST}) x"),
-    "sink_checkpoint": duck(_LAST),
+    "sink_scan_state": duck(f"SELECT repo_id, commit_hash, path, package_name, module_name, weight FROM ({_HELD}) x WHERE k = n", **STATE_SQL),
+    "sink_checkpoint": duck(f"SELECT repo_id, commit_hash, scan_order, path, package_name, module_name, weight FROM ({_HELD}) x WHERE k = 1 OR k = n OR k % 20 = 0", **STATE_SQL),
 }
