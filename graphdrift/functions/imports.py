@@ -121,8 +121,10 @@ def parse_imports(language: str | None, text: str | None) -> list[str]:
 
 
 def extract(files: DataFrame, key: list[str], language: str, text: str, blob: str) -> DataFrame:
-    """(key..., imports): the imports of each file; equal blobs of a language are parsed once."""
-    own = files.select(*key, F.col(language).alias("_l"), F.col(blob).alias("_b"), F.col(text).alias("_t"))
+    """(key..., imports): the imports of each file; equal blobs of a language are parsed once. A file without a blob id counts as
+    equal to those with its text."""
+    same = F.coalesce(F.col(blob).cast("string"), F.concat(F.lit("text "), F.sha2(F.col(text), 256)))
+    own = files.select(*key, F.col(language).alias("_l"), same.alias("_b"), F.col(text).alias("_t"))
     once = own.where(F.col("_l").isNotNull()).groupBy("_l", "_b").agg(F.first("_t", ignorenulls=True).alias("_t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,30 +2,33 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
 from ..streaming import incremental as I
 from .runtime import ensure_checkpoint_dir, table
 
-_CHANGES = "concat('r', user_id % 7) AS repo_id, concat('f', user_id) AS path, event_id AS seq, CASE WHEN event_type = 'error' THEN 'delete' ELSE 'upsert' END AS op, concat('u', user_id % 50) AS package_name, array(event_type) AS targets"
+_CHANGES = [
+    "concat('r', user_id % 7) AS repo_id",
+    "concat('f', user_id) AS path",
+    "event_id AS seq",
+    "CASE WHEN event_type = 'error' THEN 'delete' ELSE 'upsert' END AS op",
+    "concat('u', user_id % 50) AS package_name",
+    "array(event_type) AS targets",
+]
 
 
 def _batch(s, d):
-    return I.edge_weights(I.signed_changes_batch(table(s, d, "events").selectExpr(*_split())))
-
-
-def _split() -> list[str]:
-    return [x.strip() for x in _CHANGES.replace("AS op,", "AS op;").replace("repo_id,", "repo_id;").replace("path,", "path;").replace("seq,", "seq;").replace("package_name,", "package_name;").split(";")]
+    return I.edge_weights(I.signed_changes_batch(table(s, d, "events").selectExpr(*_CHANGES)))
 
 
 def _stream(s, d):
     ensure_checkpoint_dir(s)
     base = s.sparkContext._jsc.sc().getCheckpointDir().get()
-    run = tempfile.mktemp(prefix="stream-", dir="/").lstrip("/")
+    run = f"stream-{uuid.uuid4().hex}"
     schema = table(s, d, "events").schema
-    feed = s.readStream.schema(schema).parquet(f"{d}/events.parquet*").selectExpr(*_split())
+    feed = s.readStream.schema(schema).parquet(f"{d}/events.parquet*").selectExpr(*_CHANGES)
     I.run_available(feed, f"{base}/{run}/out", f"{base}/{run}/log")
     return I.edge_weights(s.read.parquet(f"{base}/{run}/out").drop("batch"))
 

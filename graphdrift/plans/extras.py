@@ -6,8 +6,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions.names import file_path
 from ..functions.paths import globs_regex
-from ..sources.store import Store
+from ..sources.store import SCHEMAS, Store
 from .model import duck, frames
 from .runtime import ensure_checkpoint_dir, table
 from .scalars import _SQL_LABELS, _labels
@@ -74,6 +75,17 @@ def _repositories(s, d):
     return st.read("repositories")
 
 
+def _subtrees(s, d):
+    """The files of each repository's newest tree, kept and read back; a tree of another version is not."""
+    st, c = _store(s), _stored_commits(s, d)
+    last = c.groupBy("repo_id").agg(F.max_by("tree_id", F.struct("scan_order", "hash")).alias("tree_id"))
+    files = table(s, d, "source_files").where("blob_oid IS NOT NULL").select("repo_id", file_path(F.col("file_path")).alias("path"), "blob_oid")
+    st.save_subtrees(last.join(files, "repo_id").select("repo_id", "tree_id", "path", "blob_oid"))
+    stale = s.createDataFrame([("r", "abcdef0", "a.py", "abcdef1", 0, "old")], SCHEMAS["subtrees"])
+    st.upsert("subtrees", stale)
+    return st.load_subtrees()
+
+
 QUERIES = {
     "fn_glob_match": lambda s, d: _labels(s, d).where(F.col("label").rlike(globs_regex(GLOBS))),
     "fn_family_match": lambda s, d: _labels(s, d).withColumn("value", _family(F.col("label"))),
@@ -82,6 +94,7 @@ QUERIES = {
     "sink_commit": _sink("commits", _stored_commits),
     "sink_frame": _sink("frames", lambda s, d: frames(s, d)),
     "sink_repository": _repositories,
+    "sink_subtree_cache": _subtrees,
     "sink_scan_state": _sink("scan_state", lambda s, d: stored_state(s, d, last_only=True)),
     "sink_checkpoint": _sink("checkpoints", stored_state),
 }
@@ -95,6 +108,7 @@ ORACLES = {
     "sink_commit": duck("SELECT repo_id, hash, scan_order, author_name, author_email, message, commit_ts, tree_id FROM {commit_rows}"),
     "sink_frame": duck("SELECT repo_id, commit_hash, scan_order, frame_ts, node_count, edge_count, analysis_version, config_fingerprint, total FROM {frames}"),
     "sink_repository": "SELECT repo_id, repo_root FROM repositories",
+    "sink_subtree_cache": duck("SELECT c.repo_id, c.tree_id, regexp_replace(replace(f.file_path, chr(92), '/'), '^\\./', '') AS path, f.blob_oid FROM (SELECT repo_id, tree_id, row_number() OVER (PARTITION BY repo_id ORDER BY scan_order DESC, hash DESC) AS k FROM {commit_rows}) c JOIN source_files f ON f.repo_id = c.repo_id WHERE c.k = 1 AND f.blob_oid IS NOT NULL"),
     "sink_scan_state": duck(f"SELECT repo_id, commit_hash, path, package_name, module_name, weight FROM ({_HELD}) x WHERE k = n", **STATE_SQL),
     "sink_checkpoint": duck(f"SELECT repo_id, commit_hash, scan_order, path, package_name, module_name, weight FROM ({_HELD}) x WHERE k = 1 OR k = n OR k % 20 = 0", **STATE_SQL),
 }

@@ -3,8 +3,9 @@
     spark.dataSource.register(GitLog)
     spark.read.format("gitlog").option("path", "/repos/a,/repos/b").load()
 
-A partition is one repository (gitlog) or one commit (gittree, gitchanges); rows stream from the git command. The number of
-commits is cut with the option `max`, the newest ones of the first-parent lineage remain; 0 or no option means all.
+A partition is a range of RANGE commits of one repository; the driver only counts a repository's commits, each partition lists
+its own. Rows stream from the git command. The number of commits is cut with the option `max`, the newest ones of the
+first-parent lineage remain; 0 or no option means all.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from dataclasses import dataclass
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+#: Commits of a partition, blobs asked for at a time, and bytes read at a time.
+RANGE, BLOBS, CHUNK = 200, 64, 1 << 16
 #: Deeper files are not listed.
 MAX_DEPTH = 30
 SUFFIXES = (".rs", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".py", ".go")
@@ -31,10 +34,24 @@ def repo_root(path: str) -> str:
     return git(path, "rev-parse", "--show-toplevel").strip().replace(os.sep, "/")
 
 
-def lineage(root: str, most: int = 0) -> list[str]:
-    """Hashes of the first-parent lineage of HEAD, oldest first; the newest `most` of them."""
-    limit = ["-n", str(most)] if most > 0 else []
-    return git(root, "rev-list", "--first-parent", *limit, "HEAD").split()[::-1]
+def stream(root: str, end: bytes, *args: str) -> Iterator[str]:
+    """The output of a git command in pieces that end with `end`, as they come."""
+    with subprocess.Popen(["git", "-c", "safe.directory=*", "-C", root, *args], stdout=subprocess.PIPE) as run:
+        rest = b""
+        while chunk := run.stdout.read(CHUNK):
+            *done, rest = (rest + chunk).split(end)
+            for piece in done:
+                yield piece.decode("utf-8", "replace")
+        if rest.strip():
+            yield rest.decode("utf-8", "replace")
+    if run.returncode:
+        raise RuntimeError(f"git {args[0]} ended with {run.returncode} in {root}")
+
+
+def commits(root: str, most: int = 0) -> int:
+    """Number of commits of the first-parent lineage of HEAD, at most `most` of them unless it is 0."""
+    n = int(git(root, "rev-list", "--first-parent", "--count", "HEAD"))
+    return min(n, most) if most > 0 else n
 
 
 def tracked(path: str) -> bool:
@@ -43,10 +60,18 @@ def tracked(path: str) -> bool:
 
 @dataclass
 class Part(InputPartition):
+    """`size` commits of a lineage of `total`, after the `skip` newest ones."""
+
     root: str
-    commit: str = ""
-    before: str = ""
-    order: int = 0
+    skip: int
+    size: int
+    total: int
+
+    def hashes(self) -> list[tuple[int, str, str]]:
+        """(place in the lineage from 1, hash, hash of the one before it or ''), oldest first."""
+        n = self.size + (self.skip + self.size < self.total)
+        found = git(self.root, "rev-list", "--first-parent", f"--skip={self.skip}", f"--max-count={n}", "HEAD").split()
+        return [(self.total - self.skip - i, found[i], found[i + 1] if i + 1 < len(found) else "") for i in range(self.size)][::-1]
 
 
 class _Reader(DataSourceReader):
@@ -55,57 +80,61 @@ class _Reader(DataSourceReader):
         self.most = int(options.get("max", 0))
 
 
-class LogReader(_Reader):
     def partitions(self):
-        return [Part(r) for r in self.roots]
+        out = []
+        for r in self.roots:
+            total = commits(r, self.most)
+            out += [Part(r, skip, min(RANGE, total - skip), total) for skip in range(0, total, RANGE)]
+        return out
+
 
+class LogReader(_Reader):
     def read(self, part: Part) -> Iterator[tuple]:
-        limit = ["-n", str(self.most)] if self.most > 0 else []
-        out = git(part.root, "log", "--first-parent", "--reverse", *limit, "--format=%H%x00%T%x00%an%x00%ae%x00%at%x00%B%x01")
-        for i, row in enumerate(x for x in out.split("\x01") if x.strip()):
-            h, tree, name, mail, at, message = row.lstrip("\n").split("\x00", 5)
-            yield part.root, h, i + 1, name or "unknown", mail or "unknown", int(at or 0), message.rstrip("\n"), tree
+        place = part.total - part.skip
+        window = (f"--skip={part.skip}", f"--max-count={part.size}")
+        for row in stream(part.root, b"\x01", "log", "--first-parent", *window, "--format=%H%x00%T%x00%an%x00%ae%x00%at%x00%B%x01"):
+            if row.strip():
+                h, tree, name, mail, at, message = row.lstrip("\n").split("\x00", 5)
+                yield part.root, h, place, name or "unknown", mail or "unknown", int(at or 0), message.rstrip("\n"), tree
+                place -= 1
 
 
-class TreeReader(_Reader):
-    def partitions(self):
-        return [Part(r, h, order=i + 1) for r in self.roots for i, h in enumerate(lineage(r, self.most))]
+def tree_files(root: str, commit: str) -> Iterator[tuple[str, str]]:
+    """(path, blob id) of the tracked files of a commit."""
+    for row in stream(root, b"\x00", "ls-tree", "-r", "-z", commit):
+        meta, path = row.split("\t", 1)
+        _, kind, oid = meta.split(" ")
+        if kind == "blob" and tracked(path):
+            yield path, oid
+
 
+class TreeReader(_Reader):
     def read(self, part: Part) -> Iterator[tuple]:
-        for row in git(part.root, "ls-tree", "-r", "-z", part.commit).split("\x00"):
-            if row:
-                meta, path = row.split("\t", 1)
-                _, kind, oid = meta.split(" ")
-                if kind == "blob" and tracked(path):
-                    yield part.root, part.commit, part.order, path, oid
+        for place, h, _ in part.hashes():
+            for path, oid in tree_files(part.root, h):
+                yield part.root, h, place, path, oid
 
 
 class ChangeReader(_Reader):
-    def partitions(self):
-        out = []
-        for r in self.roots:
-            hashes = lineage(r, self.most)
-            out += [Part(r, h, b, i + 1) for i, (h, b) in enumerate(zip(hashes, ["", *hashes], strict=False))]
-        return out
-
     def read(self, part: Part) -> Iterator[tuple]:
-        head = (part.root, part.commit, part.order)
-        if not part.before:
-            for _, _, _, path, oid in TreeReader.read(self, part):
-                yield *head, path, "upsert", oid
-            return
-        fields = iter(git(part.root, "diff-tree", "-r", "-z", "-M", "--no-commit-id", part.before, part.commit).split("\x00"))
-        for meta in fields:
-            if not meta:
+        for place, h, before in part.hashes():
+            head = (part.root, h, place)
+            if not before:
+                for path, oid in tree_files(part.root, h):
+                    yield *head, path, "upsert", oid
                 continue
-            *_, oid, status = meta.lstrip(":").split(" ")
-            path = next(fields)
-            if status[0] in "RC":
-                old, path = path, next(fields)
-                if status[0] == "R" and tracked(old):
-                    yield *head, old, "delete", None
-            if tracked(path):
-                yield *head, path, "delete" if status[0] == "D" else "upsert", None if status[0] == "D" else oid
+            fields = stream(part.root, b"\x00", "diff-tree", "-r", "-z", "-M", "--no-commit-id", before, h)
+            for meta in fields:
+                if not meta:
+                    continue
+                *_, oid, status = meta.lstrip(":").split(" ")
+                path = next(fields)
+                if status[0] in "RC":
+                    old, path = path, next(fields)
+                    if status[0] == "R" and tracked(old):
+                        yield *head, old, "delete", None
+                if tracked(path):
+                    yield *head, path, "delete" if status[0] == "D" else "upsert", None if status[0] == "D" else oid
 
 
 class GitLog(DataSource):
@@ -151,26 +180,41 @@ def register(spark) -> None:
         spark.dataSource.register(source)
 
 
+def blob_texts(root: str, ids: list[str]) -> Iterator[tuple[str, str | None]]:
+    """(id, text) of blobs, BLOBS at a time from one git process; null where a blob is missing or isn't UTF-8."""
+    with subprocess.Popen(["git", "-c", "safe.directory=*", "-C", root, "cat-file", "--batch"], stdin=subprocess.PIPE, stdout=subprocess.PIPE) as run:
+        for begin in range(0, len(ids), BLOBS):
+            asked = ids[begin : begin + BLOBS]
+            run.stdin.write("\n".join(asked).encode() + b"\n")
+            run.stdin.flush()
+            for oid in asked:
+                head = run.stdout.readline().split(b" ")
+                if head[-1].strip() == b"missing":
+                    yield oid, None
+                    continue
+                raw = run.stdout.read(int(head[2]) + 1)[:-1]
+                try:
+                    yield oid, raw.decode("utf-8")
+                except UnicodeDecodeError:
+                    yield oid, None
+        run.stdin.close()
+
+
 def read_blobs(changes):
-    """(repo_id, blob_oid, content): the text of each distinct blob; null where it isn't UTF-8."""
+    """(repo_id, blob_oid, content): the text of each distinct blob; null where it is missing or isn't UTF-8."""
     import pandas as pd
 
     def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for root, part in pdf.groupby("repo_id"):
-                ids = part["blob_oid"].tolist()
-                done = subprocess.run(["git", "-c", "safe.directory=*", "-C", root, "cat-file", "--batch"], input="\n".join(ids).encode() + b"\n", capture_output=True, check=True).stdout
-                rows, at = [], 0
-                for oid in ids:
-                    end = done.index(b"\n", at)
-                    size = int(done[at:end].split(b" ")[2])
-                    raw = done[end + 1 : end + 1 + size]
-                    at = end + 2 + size
-                    try:
-                        rows.append((root, oid, raw.decode("utf-8")))
-                    except UnicodeDecodeError:
-                        rows.append((root, oid, None))
-                yield pd.DataFrame(rows, columns=["repo_id", "blob_oid", "content"])
+                rows = []
+                for oid, text in blob_texts(root, part["blob_oid"].tolist()):
+                    rows.append((root, oid, text))
+                    if len(rows) == BLOBS:
+                        yield pd.DataFrame(rows, columns=["repo_id", "blob_oid", "content"])
+                        rows = []
+                if rows:
+                    yield pd.DataFrame(rows, columns=["repo_id", "blob_oid", "content"])
 
     once = changes.where("blob_oid IS NOT NULL").select("repo_id", "blob_oid").distinct()
     return once.mapInPandas(load, "repo_id string, blob_oid string, content string")

@@ -45,6 +45,37 @@ def test_git_sources(spark, repo):
     assert spark.read.format("gitlog").option("path", repo).option("max", 2).load().count() == 2
 
 
+def test_ranges_of_commits_and_missing_blobs(spark, repo, monkeypatch):
+    from graphdrift.sources import git as G
+
+    monkeypatch.setattr(G, "RANGE", 2)
+    parts = G.LogReader({"path": repo}).partitions()
+    assert [(p.skip, p.size, p.total) for p in parts] == [(0, 2, 3), (2, 1, 3)]
+    rows = [r for p in parts for r in G.LogReader({"path": repo}).read(p)]
+    assert sorted((r[2], r[6]) for r in rows) == [(1, "one\n\nbody"), (2, "two"), (3, "three")]
+    changes = [r for p in parts for r in G.ChangeReader({"path": repo}).read(p)]
+    assert sorted((r[2], r[3], r[4]) for r in changes) == [(1, "src/a.py", "upsert"), (2, "c.go", "upsert"), (2, "src/a.py", "delete"), (2, "src/b.py", "upsert"), (3, "c.go", "delete")]
+    oid = next(r[5] for r in changes if r[3] == "c.go" and r[5])
+    assert list(G.blob_texts(repo, ["0" * 40, oid])) == [("0" * 40, None), (oid, 'import "fmt"\n')]
+
+
+def test_files_without_a_blob_id_are_parsed_apart(spark):
+    from graphdrift.functions.imports import extract
+
+    files = spark.createDataFrame([(1, "python", "import os", None), (2, "python", "import json", None), (3, "python", "import os", None), (4, "python", None, None), (5, None, "import os", "b")], "k int, la string, t string, b string")
+    assert {r["k"]: r["imports"] for r in extract(files, ["k"], "la", "t", "b").collect()} == {1: ["os"], 2: ["json"], 3: ["os"], 4: [], 5: []}
+
+
+def test_store_sets_other_schemas_aside_only_on_writing(spark, tmp_path):
+    st = Store(spark, str(tmp_path / "store"))
+    spark.range(3).withColumn("repo_id", F.lit("/r")).write.partitionBy("repo_id").parquet(st.path("repositories"))
+    with pytest.raises(ValueError):
+        st.read("repositories")
+    assert spark.read.parquet(st.path("repositories")).count() == 3
+    st.upsert("repositories", spark.createDataFrame([("/r", "root")], "repo_id string, repo_root string"))
+    assert [tuple(r) for r in st.read("repositories").select("repo_id", "repo_root").collect()] == [("/r", "root")]
+
+
 def test_store(spark, tmp_path):
     st = Store(spark, str(tmp_path / "store"))
     cols = "repo_id string, hash string, scan_order bigint, author_name string, author_email string, message string, commit_ts bigint, tree_id string"
@@ -59,6 +90,8 @@ def test_store(spark, tmp_path):
     assert {r["repo_id"] for r in st.read("commits").collect()} == {"/other"}
     assert st.read("frames").count() == 0
     spark.range(1).withColumn("repo_id", F.lit("old")).write.parquet(st.path("frames"))
+    aside = st.prepare("frames")
+    assert spark.read.parquet(aside).count() == 1 and st.prepare("frames") is None
     assert st.read("frames").count() == 0 and st.read("frames").columns[0] == "repo_id"
 
 
