@@ -14,15 +14,27 @@ LIST_LIMIT, TREND_LIMIT, PREVIOUS_LIMIT, SAMPLES, TREND_SHOWN, PAGE = 10, 20, 3,
 ANALYSIS_VERSION, NO_TOTAL, CHECKPOINT_EVERY = 3, 50, 20
 DEBTS = ("cycle", "layering", "hub", "coupling", "cognitive", "instability")
 
-_FRAMES = Window.partitionBy("repo_id").orderBy("scan_order", "commit_hash")
-_NEWEST = Window.partitionBy("repo_id").orderBy(F.col("scan_order").desc(), F.col("commit_hash").desc())
-_LINEAGE = Window.partitionBy("repo_id").orderBy(F.col("scan_order").desc(), F.col("hash").desc())
-_REPO = Window.partitionBy("repo_id")
+
+def _by(*order: str, newest_first: bool = False):
+    """The window of a repository's rows in an order."""
+    return Window.partitionBy("repo_id").orderBy(*[F.col(c).desc() if newest_first else F.col(c) for c in order])
+
+
+def _frames():
+    return _by("scan_order", "commit_hash")
+
+
+def _newest():
+    return _by("scan_order", "commit_hash", newest_first=True)
+
+
+def _repo():
+    return Window.partitionBy("repo_id")
 
 
 def newest(frames: DataFrame, k: int) -> DataFrame:
     """The k newest frames of each repository, with their position `rn` from 1."""
-    return frames.withColumn("rn", F.row_number().over(_NEWEST)).where(F.col("rn") <= k)
+    return frames.withColumn("rn", F.row_number().over(_newest())).where(F.col("rn") <= k)
 
 
 def with_commit(frames: DataFrame, commits: DataFrame, *cols: str) -> DataFrame:
@@ -36,17 +48,17 @@ def list_graphs(f: DataFrame, c: DataFrame) -> DataFrame:
 
 def drift_trend(f: DataFrame, c: DataFrame) -> DataFrame:
     shown = newest(with_commit(f.select("repo_id", "commit_hash", "scan_order", "total"), c), TREND_LIMIT)
-    return shown.select("repo_id", "commit_hash", "scan_order", "total", (F.col("total") - F.lag("total").over(_FRAMES)).alias("delta"))
+    return shown.select("repo_id", "commit_hash", "scan_order", "total", (F.col("total") - F.lag("total").over(_frames())).alias("delta"))
 
 
 def previous_snapshot(f: DataFrame, c: DataFrame) -> DataFrame:
-    before = [F.lag(x).over(_FRAMES).alias(n) for x, n in (("commit_hash", "previous_hash"), ("scan_order", "previous_order"))]
+    before = [F.lag(x).over(_frames()).alias(n) for x, n in (("commit_hash", "previous_hash"), ("scan_order", "previous_order"))]
     return f.select("repo_id", "commit_hash", "scan_order", *before)
 
 
 def _offsets(f: DataFrame, steps: range, *cols: str) -> DataFrame:
     """Each frame once for every step back that exists, with `step` and the columns `then_...` of the earlier frame."""
-    back = F.array(*[F.struct(F.lit(i).alias("step"), *[F.lag(c, i).over(_FRAMES).alias(f"then_{c}") for c in cols]) for i in steps])
+    back = F.array(*[F.struct(F.lit(i).alias("step"), *[F.lag(c, i).over(_frames()).alias(f"then_{c}") for c in cols]) for i in steps])
     each = f.withColumn("back", back).withColumn("x", F.explode("back"))
     return each.select("*", "x.*").where("then_commit_hash IS NOT NULL").drop("x", "back")
 
@@ -58,8 +70,8 @@ def previous_drift(f: DataFrame, c: DataFrame) -> DataFrame:
 
 def trend(f: DataFrame, c: DataFrame) -> DataFrame:
     """For each frame the last TREND_SHOWN frames up to it: a ROWS window collects them, so none is joined."""
-    w = _FRAMES.rowsBetween(1 - TREND_SHOWN, Window.currentRow)
-    place = F.row_number().over(_FRAMES)
+    w = _frames().rowsBetween(1 - TREND_SHOWN, Window.currentRow)
+    place = F.row_number().over(_frames())
     numbered = f.select("repo_id", "commit_hash", "scan_order", "total", place.alias("position"))
     item = F.struct(F.col("commit_hash").alias("shown_hash"), "position", F.coalesce("total", F.lit(NO_TOTAL)).alias("total"))
     shown = numbered.select("repo_id", "commit_hash", F.collect_list(item).over(w).alias("shown"))
@@ -68,7 +80,7 @@ def trend(f: DataFrame, c: DataFrame) -> DataFrame:
 
 def sampled_meta(f: DataFrame, c: DataFrame) -> DataFrame:
     """SAMPLES frames spread evenly over the repository's frames: of every step the first frame that it reaches."""
-    pos, n = F.row_number().over(_NEWEST) - 1, F.count("*").over(_REPO)
+    pos, n = F.row_number().over(_newest()) - 1, F.count("*").over(_repo())
     at = f.select("repo_id", "commit_hash", "scan_order", pos.alias("pos"), n.alias("n"))
     wanted = F.transform(F.sequence(F.lit(0), F.lit(SAMPLES - 1)), lambda i: F.floor(i * (F.col("n") - 1) / F.lit(float(SAMPLES - 1))))
     return at.where((F.col("n") <= SAMPLES) | F.array_contains(wanted, F.col("pos").cast("bigint"))).select("repo_id", "commit_hash", "scan_order")
@@ -102,7 +114,7 @@ def resolve_analysis(f: DataFrame, c: DataFrame) -> DataFrame:
 
 def trend_direction(f: DataFrame, c: DataFrame) -> DataFrame:
     now = F.coalesce("total", F.lit(NO_TOTAL))
-    change = now - F.lag(now).over(_FRAMES)
+    change = now - F.lag(now).over(_frames())
     return f.select("repo_id", "commit_hash", F.when(change < 0, "improving").when(change > 0, "degrading").otherwise("stable").alias("direction"))
 
 
@@ -112,7 +124,7 @@ def health_stats(f: DataFrame, c: DataFrame) -> DataFrame:
 
 
 def timeline_seek(f: DataFrame, c: DataFrame) -> DataFrame:
-    at = f.select("repo_id", "commit_hash", "scan_order", F.row_number().over(_NEWEST).alias("rn"), F.count("*").over(_REPO).alias("n"))
+    at = f.select("repo_id", "commit_hash", "scan_order", F.row_number().over(_newest()).alias("rn"), F.count("*").over(_repo()).alias("n"))
     to = lambda step: F.greatest(F.lit(1), F.least("n", F.col("rn") + step))
     return at.select("repo_id", "commit_hash", "scan_order", to(-1).alias("newer"), to(1).alias("older"), to(-PAGE).alias("jump_newer"), to(PAGE).alias("jump_older"))
 
@@ -136,13 +148,13 @@ def worst_component(f: DataFrame, c: DataFrame) -> DataFrame:
 
 def lineage(c: DataFrame) -> DataFrame:
     """Commits with `pos`, their place from the newest, and `n`, the number of the repository's commits."""
-    return c.select("repo_id", "hash", F.row_number().over(_LINEAGE).alias("pos"), F.count("*").over(_REPO).alias("n"))
+    return c.select("repo_id", "hash", F.row_number().over(_by("scan_order", "hash", newest_first=True)).alias("pos"), F.count("*").over(_repo()).alias("n"))
 
 
 def scanned(f: DataFrame, c: DataFrame) -> DataFrame:
     """lineage with `stop`, the place of the repository's newest commit that has a frame (null where none has)."""
     known = f.select("repo_id", F.col("commit_hash").alias("hash"), F.lit(True).alias("known"))
-    return lineage(c).join(known, ["repo_id", "hash"], "left").withColumn("stop", F.min(F.when(F.col("known"), F.col("pos"))).over(_REPO))
+    return lineage(c).join(known, ["repo_id", "hash"], "left").withColumn("stop", F.min(F.when(F.col("known"), F.col("pos"))).over(_repo()))
 
 
 def plan_incremental(f: DataFrame, c: DataFrame) -> DataFrame:
@@ -167,14 +179,14 @@ def depth(f: DataFrame, c: DataFrame) -> DataFrame:
 def invalidate(f: DataFrame, c: DataFrame) -> DataFrame:
     """Whether a repository's store must be cleared: the newest frame is of an older engine or has another fingerprint than
     the first one."""
-    first = F.first("config_fingerprint").over(_FRAMES.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    first = F.first("config_fingerprint").over(_frames().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     old = (F.col("analysis_version") < ANALYSIS_VERSION) | (F.coalesce("config_fingerprint", F.lit("")) == "") | (F.col("config_fingerprint") != F.col("first"))
     return newest(f.withColumn("first", first), 1).select("repo_id", old.alias("clear_all"))
 
 
 def checkpoints(f: DataFrame, c: DataFrame) -> DataFrame:
     """The frames whose whole state is stored: the first, every CHECKPOINT_EVERY-th and the last one of each repository."""
-    at = f.withColumn("k", F.row_number().over(_FRAMES)).withColumn("n", F.count("*").over(_REPO))
+    at = f.withColumn("k", F.row_number().over(_frames())).withColumn("n", F.count("*").over(_repo()))
     return at.where(f"k = 1 OR k % {CHECKPOINT_EVERY} = 0 OR k = n").select("repo_id", "commit_hash", "scan_order")
 
 
@@ -212,14 +224,14 @@ OPS = {
     "sc_recommendations": recommendations,
     "sc_worst_component": worst_component,
     "src_commit_count": lambda f, c: c.groupBy("repo_id").agg(F.count("*").alias("n_commits")),
-    "src_commits": lambda f, c: c.select("repo_id", "hash", F.row_number().over(Window.partitionBy("repo_id").orderBy("scan_order", "hash")).alias("lineage_order")),
+    "src_commits": lambda f, c: c.select("repo_id", "hash", F.row_number().over(_by("scan_order", "hash")).alias("lineage_order")),
     "src_commit_meta": commit_meta,
     "src_plan_incremental": plan_incremental,
     "src_commits_since": lambda f, c: scanned(f, c).where("pos < stop").select("repo_id", "hash", "pos"),
     "inc_action": action,
     "inc_depth": depth,
     "inc_invalidate": invalidate,
-    "inc_detail": lambda f, c: f.select("repo_id", "commit_hash", (F.row_number().over(_NEWEST) == 1).alias("full_artifacts")),
+    "inc_detail": lambda f, c: f.select("repo_id", "commit_hash", (F.row_number().over(_newest()) == 1).alias("full_artifacts")),
     "inc_checkpoint": checkpoints,
     "inc_baseline": baseline,
 }

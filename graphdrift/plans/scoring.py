@@ -49,7 +49,7 @@ def _graph(s, d):
 def _component(cfg, score, *keep):
     def query(s, d):
         e, n, scc = _graph(s, d)
-        return S.measures(e, n, scc, cfg).select("snapshot_id", *keep, F.round(score, 4).alias("score"))
+        return S.measures(e, n, scc, cfg).selectExpr("snapshot_id", *keep, f"round({score}, 4) AS score")
 
     return query
 
@@ -113,7 +113,7 @@ _PREFIXED = """SELECT * FROM (SELECT snapshot_id, ['packages/', 'libs/', 'core::
 QUERIES = {
     "sc_weights": _weights,
     "sc_cycle": _component(DEFAULT, "cycle", "n_cycles"),
-    "sc_layering": _component(DEFAULT, "structural", F.col("violations").alias("layering_violations")),
+    "sc_layering": _component(DEFAULT, "structural", "violations AS layering_violations"),
     "sc_boundary": _component(CONFIGURED, "boundary", "boundary_violations"),
     "sc_hub": _component(DEFAULT, "hub", "n_hubs"),
     "sc_hub_configured": _component(CONFIGURED, "hub", "n_hubs"),
