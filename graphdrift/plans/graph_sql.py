@@ -1,4 +1,4 @@
-"""Graph aggregates and reports as SQL text over {edges}, {nodes}, {scc} and {blast}; all snapshots are computed at once."""
+"""DuckDB counterparts of graph algorithms and views, as SQL text over {edges}, {nodes}, {scc} and {blast}."""
 
 from __future__ import annotations
 
@@ -21,29 +21,35 @@ OPS = {
         JOIN {scc} b ON b.snapshot_id = e.snapshot_id AND b.module_name = e.to_module WHERE a.scc_id <> b.scc_id GROUP BY 1, 2, 3""",
     "gr_neighborhood": """WITH m AS (SELECT snapshot_id, module_name FROM {nodes} WHERE lower(module_name) LIKE '%core%'),
         v AS (SELECT snapshot_id, module_name FROM m UNION SELECT e.snapshot_id, e.to_module FROM {edges} e JOIN m ON m.snapshot_id = e.snapshot_id AND m.module_name = e.from_module
-          UNION SELECT e.snapshot_id, e.from_module FROM {edges} e JOIN m ON m.snapshot_id = e.snapshot_id AND m.module_name = e.to_module)
-        SELECT v.snapshot_id, count(DISTINCT v.module_name) AS n_visible, count(e.from_module) AS n_edges FROM v LEFT JOIN ({edges_among}) e ON e.snapshot_id = v.snapshot_id AND e.from_module = v.module_name GROUP BY 1""",
-    "rp_hotspots": f"""SELECT snapshot_id, module_name, fan_in, fan_out, instability, rank, instability >= 0.95 OR fan_in + fan_out > 20 AS marked FROM (
-        SELECT *, row_number() OVER (PARTITION BY snapshot_id ORDER BY fan_in + fan_out DESC, instability DESC, module_name) AS rank FROM (
-          SELECT snapshot_id, module_name, fan_in, fan_out, CASE WHEN fan_in + fan_out = 0 THEN 0.0 ELSE round(fan_out / CAST(fan_in + fan_out AS DOUBLE), 6) END AS instability FROM ({DEGREES}) d) x) y WHERE rank <= 20""",
+          UNION SELECT e.snapshot_id, e.from_module FROM {edges} e JOIN m ON m.snapshot_id = e.snapshot_id AND m.module_name = e.to_module),
+        i AS (SELECT e.* FROM {edges} e JOIN v a ON a.snapshot_id = e.snapshot_id AND a.module_name = e.from_module JOIN v b ON b.snapshot_id = e.snapshot_id AND b.module_name = e.to_module)
+        SELECT s.snapshot_id, i.from_module, i.to_module, i.weight, s.n AS n_visible, (SELECT count(*) FROM i x WHERE x.snapshot_id = s.snapshot_id) AS n_edges FROM (SELECT snapshot_id, count(*) AS n FROM v GROUP BY 1) s LEFT JOIN i ON i.snapshot_id = s.snapshot_id""",
+    "rp_hotspots": f"""SELECT snapshot_id, module_name, fan_in, fan_out, round(i, 6) AS instability, i >= 0.95 OR fan_in + fan_out > 20 AS marked, row_number() OVER (PARTITION BY snapshot_id ORDER BY fan_in + fan_out DESC, i DESC, module_name) AS rank,
+        row_number() OVER (PARTITION BY snapshot_id ORDER BY fan_in DESC, module_name) AS rank_fan_in, row_number() OVER (PARTITION BY snapshot_id ORDER BY fan_out DESC, module_name) AS rank_fan_out FROM (
+          SELECT snapshot_id, module_name, fan_in, fan_out, coalesce(fan_out / nullif(fan_in + fan_out, 0)::DOUBLE, 0) AS i FROM ({DEGREES}) d) x""",
     "rp_module_inspect": f"""SELECT snapshot_id, module_name, fan_in, fan_out, CASE WHEN fan_in > 15 AND fan_out > 15 THEN 'both_ways' WHEN fan_out / CAST(greatest(fan_in + fan_out, 1) AS DOUBLE) > 0.8 AND fan_out > 10 THEN 'dependent'
           WHEN fan_in > 20 THEN 'foundation' ELSE 'healthy' END AS risk FROM ({DEGREES}) d""",
-    "rp_module_links": """SELECT snapshot_id, module_name, other, weight, direction, rank FROM (SELECT *, row_number() OVER (PARTITION BY snapshot_id, module_name, direction ORDER BY weight DESC, other) AS rank FROM (
-          SELECT snapshot_id, from_module AS module_name, to_module AS other, weight, 'out' AS direction FROM {edges} UNION ALL SELECT snapshot_id, to_module, from_module, weight, 'in' FROM {edges}) u) r WHERE rank <= 5""",
+    "rp_module_links": """SELECT snapshot_id, module_name, other, weight, direction, rank, rank <= 5 AS shown FROM (SELECT *, row_number() OVER (PARTITION BY snapshot_id, module_name, direction ORDER BY weight DESC, other) AS rank FROM (
+          SELECT snapshot_id, from_module AS module_name, to_module AS other, weight, 'out' AS direction FROM {edges} UNION ALL SELECT snapshot_id, to_module, from_module, weight, 'in' FROM {edges}) u) r""",
     "rp_label_budget": f"""SELECT snapshot_id, module_name FROM (SELECT d.snapshot_id, d.module_name, row_number() OVER (PARTITION BY d.snapshot_id ORDER BY d.fan_in + d.fan_out DESC, d.module_name) AS r,
           CASE WHEN s.n > 200 THEN least(60, greatest(20, floor(s.n / 7.0))) WHEN s.n > 80 THEN greatest(20, floor(s.n / 3.0)) ELSE s.n END AS k FROM ({DEGREES}) d JOIN ({SIZES}) s ON s.snapshot_id = d.snapshot_id) x WHERE r <= k""",
     "rp_edge_budget": f"""SELECT snapshot_id, from_module, to_module, weight FROM (SELECT e.*, row_number() OVER (PARTITION BY e.snapshot_id ORDER BY e.weight DESC, e.from_module, e.to_module) AS r, s.n FROM {{edges}} e JOIN ({SIZES}) s ON s.snapshot_id = e.snapshot_id) x
         WHERE r <= CASE WHEN n > 200 THEN 400 WHEN n > 100 THEN 600 ELSE r END""",
     "rp_context": "SELECT n.snapshot_id, n.module_name, coalesce(i.w, 0) AS weight_in, coalesce(o.w, 0) AS weight_out FROM {nodes} n LEFT JOIN (SELECT snapshot_id, to_module AS m, CAST(sum(weight) AS BIGINT) AS w FROM {edges} GROUP BY 1, 2) i ON i.snapshot_id = n.snapshot_id AND i.m = n.module_name LEFT JOIN (SELECT snapshot_id, from_module AS m, CAST(sum(weight) AS BIGINT) AS w FROM {edges} GROUP BY 1, 2) o ON o.snapshot_id = n.snapshot_id AND o.m = n.module_name",
-    "rp_relation_class": """SELECT snapshot_id, centre, module_name, CASE WHEN inb + outb = 2 THEN 'bidirectional' WHEN inb = 1 THEN 'inbound' ELSE 'outbound' END AS relation FROM (
-        SELECT snapshot_id, centre, module_name, max(inb) AS inb, max(outb) AS outb FROM (SELECT snapshot_id, to_module AS centre, from_module AS module_name, 1 AS inb, 0 AS outb FROM {edges} UNION ALL SELECT snapshot_id, from_module, to_module, 0, 1 FROM {edges}) u GROUP BY 1, 2, 3) x""",
-    "rp_blast_overlay": "SELECT e.snapshot_id, e.from_module, e.to_module, round((coalesce(a.score, 0) + coalesce(b.score, 0)) / 2, 6) AS edge_score FROM {edges} e LEFT JOIN {blast} a ON a.snapshot_id = e.snapshot_id AND a.module_name = e.from_module LEFT JOIN {blast} b ON b.snapshot_id = e.snapshot_id AND b.module_name = e.to_module",
+    "rp_relation_class": """WITH m AS (SELECT snapshot_id, module_name FROM {nodes} WHERE lower(module_name) LIKE '%core%'),
+        v AS (SELECT snapshot_id, module_name FROM m UNION SELECT e.snapshot_id, e.to_module FROM {edges} e JOIN m ON m.snapshot_id = e.snapshot_id AND m.module_name = e.from_module
+          UNION SELECT e.snapshot_id, e.from_module FROM {edges} e JOIN m ON m.snapshot_id = e.snapshot_id AND m.module_name = e.to_module),
+        c AS (SELECT snapshot_id, min(module_name) AS centre FROM m GROUP BY 1)
+        SELECT v.snapshot_id, 'node' AS kind, centre, v.module_name AS from_module, NULL AS to_module, CASE WHEN i.weight IS NOT NULL AND o.weight IS NOT NULL THEN 'bidirectional' WHEN i.weight IS NOT NULL THEN 'inbound' WHEN o.weight IS NOT NULL THEN 'outbound' ELSE 'related' END AS relation
+        FROM v JOIN c USING (snapshot_id) LEFT JOIN {edges} i ON i.snapshot_id = v.snapshot_id AND i.from_module = v.module_name AND i.to_module = centre LEFT JOIN {edges} o ON o.snapshot_id = v.snapshot_id AND o.from_module = centre AND o.to_module = v.module_name WHERE v.module_name <> centre
+        UNION ALL SELECT e.snapshot_id, 'edge', centre, e.from_module, e.to_module, CASE centre WHEN e.from_module THEN 'outbound' WHEN e.to_module THEN 'inbound' ELSE 'related' END
+        FROM {edges} e JOIN c USING (snapshot_id) WHERE (e.snapshot_id, e.from_module) IN (SELECT snapshot_id, module_name FROM v) AND (e.snapshot_id, e.to_module) IN (SELECT snapshot_id, module_name FROM v)""",
+    "rp_blast_overlay": """WITH t AS (SELECT snapshot_id, to_module, row_number() OVER (PARTITION BY snapshot_id ORDER BY count(*) DESC, to_module) AS r FROM {edges} GROUP BY 1, 2),
+        f AS (SELECT x.snapshot_id, x.node AS module_name, x.d FROM {dist} x JOIN t ON t.snapshot_id = x.snapshot_id AND t.to_module = x.target AND t.r = 1)
+        SELECT e.snapshot_id, e.from_module, e.to_module, round((coalesce(a.score, 0) + coalesce(b.score, 0)) / 2, 6) AS edge_score, least(fa.d, fb.d)::BIGINT AS cascade FROM {edges} e LEFT JOIN {blast} a ON a.snapshot_id = e.snapshot_id AND a.module_name = e.from_module
+        LEFT JOIN {blast} b ON b.snapshot_id = e.snapshot_id AND b.module_name = e.to_module LEFT JOIN f fa ON fa.snapshot_id = e.snapshot_id AND fa.module_name = e.from_module LEFT JOIN f fb ON fb.snapshot_id = e.snapshot_id AND fb.module_name = e.to_module""",
     "gr_blast_all": f"SELECT snapshot_id, module_name, downstream_count, round(weighted_reach, 6) AS weighted_reach, round(score, 6) AS score, score >= {HIGH_IMPACT} AS is_high_impact, is_articulation_point FROM {{blast}}",
 }
-OPS["gr_neighborhood"] = OPS["gr_neighborhood"].replace(
-    "({edges_among})", "(SELECT e.* FROM {edges} e JOIN v b ON b.snapshot_id = e.snapshot_id AND b.module_name = e.to_module)"
-)
-
 # relations that oracles define in SQL: mutual reachability, and breadth-first distances with the greatest weight of a step
 SCC_SQL = {
     "reach": "SELECT snapshot_id, from_module AS a, to_module AS b FROM {edges} UNION SELECT r.snapshot_id, r.a, e.to_module FROM reach r JOIN {edges} e ON e.snapshot_id = r.snapshot_id AND e.from_module = r.b",
