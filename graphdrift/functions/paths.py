@@ -22,8 +22,9 @@ TEST_FRAGMENTS = (
 ASSET_SUFFIXES = ("css", "scss", "json", "svg", "png", "jpg", "wasm", "html", "md", "txt")
 IGNORE_PRESETS = {
     "tooling": (".github/**", ".husky/**", ".vscode/**", ".idea/**", ".devcontainer/**"),
-    "artifacts": tuple(
-        p.format(d) for d in ("coverage", "dist", "build", "target", ".next", ".turbo", ".cache", "tmp", "temp") for p in ("{}/**", "**/{}/**")
+    "artifacts": (
+        "coverage/**", "**/coverage/**", "dist/**", "**/dist/**", "build/**", "**/build/**", "target/**", "**/target/**", ".next/**", "**/.next/**",
+        ".turbo/**", "**/.turbo/**", ".cache/**", "**/.cache/**", "tmp/**", "**/tmp/**", "temp/**", "**/temp/**",
     ),
     "generated": ("**/__generated__/**", "**/generated/**", "**/*.generated.*", "**/*.d.ts"),
 }

@@ -1,68 +1,216 @@
-"""Clusters of modules by namespace and the reports on them, as SQL text over {assign}, {edges} and {nodes}.
+"""Clusters of modules by namespace and the reports on them, for all snapshots at once.
 
-{assign} has (snapshot_id, module_name, is_internal, cluster): the namespace of each module. A snapshot with a module that
-has none, or with fewer than two namespaces, has no semantic clusters.
+`assign` gives each module's namespace and cluster under a clustering configuration; `architecture_maps` in clustering.py
+goes on from the same namespaces with the steps that depend on each other (merges, splits, constraints). The reports take
+either: rows (snapshot_id, module_name, is_internal, cluster, base, name). Equal rows are ordered by name.
 """
 
 from __future__ import annotations
 
-from ..functions.labels import FIXED_PREFIXES, FIXED_ROOTS, KIND_BY_NAME
-
-DEPS, ROOT, FALLBACK = "__deps__", "__root__", "workspace"
-MIN_REPEATS, KEEP_EDGES, OVERVIEW_NODES = 2, 10, 70
-
-_HEAD = "split_part(module_name, '/', 1)"
-TOKEN = "CASE WHEN module_name LIKE '%!_%' ESCAPE '!' AND length(split_part(module_name, '_', 1)) >= 3 THEN split_part(module_name, '_', 1) WHEN module_name LIKE '%-%' AND length(split_part(module_name, '-', 1)) >= 3 THEN split_part(module_name, '-', 1) END"
-TOKENS = f"SELECT snapshot_id, token, count(*) AS n FROM (SELECT snapshot_id, {TOKEN} AS token FROM {{nodes}} WHERE is_internal AND module_name NOT LIKE '%/%') t WHERE token IS NOT NULL GROUP BY 1, 2"
-HEADS = f"SELECT DISTINCT snapshot_id, {_HEAD} AS head FROM {{nodes}} WHERE is_internal AND module_name LIKE '%/%'"
-_FIXED = " ".join(f"WHEN n.module_name LIKE '{p.replace('_', '!_')}%' ESCAPE '!' THEN '{v}'" for p, v in FIXED_PREFIXES.items())
-NAMESPACE = f"""SELECT n.snapshot_id, n.module_name, n.is_internal, CASE WHEN NOT n.is_internal THEN '{DEPS}' WHEN n.module_name LIKE '%/%' THEN split_part(n.module_name, '/', 1)
-    WHEN h.head IS NOT NULL OR n.module_name IN ({', '.join(repr(x) for x in FIXED_ROOTS)}) THEN n.module_name {_FIXED}
-    WHEN t.n >= {MIN_REPEATS} THEN t.token WHEN regexp_like(n.module_name, '^[A-Za-z0-9_-]*$') THEN '{ROOT}' END AS namespace
-  FROM (SELECT *, {TOKEN} AS own_token FROM {{nodes}}) n LEFT JOIN ({HEADS}) h ON h.snapshot_id = n.snapshot_id AND h.head = n.module_name
-  LEFT JOIN ({TOKENS}) t ON t.snapshot_id = n.snapshot_id AND t.token = n.own_token"""
-ASSIGN = f"""SELECT a.snapshot_id, a.module_name, a.is_internal, CASE a.namespace WHEN '{DEPS}' THEN 'deps' WHEN '{ROOT}' THEN '{FALLBACK}' ELSE a.namespace END AS cluster FROM ({NAMESPACE}) a
-  JOIN (SELECT snapshot_id FROM ({NAMESPACE}) b GROUP BY 1 HAVING count(*) = count(namespace) AND count(DISTINCT namespace) >= 2) g ON g.snapshot_id = a.snapshot_id"""
-LINKS = "SELECT e.snapshot_id, a.cluster AS from_cluster, b.cluster AS to_cluster, CAST(sum(e.weight) AS BIGINT) AS weight, count(*) AS n_edges FROM {edges} e JOIN {assign} a ON a.snapshot_id = e.snapshot_id AND a.module_name = e.from_module JOIN {assign} b ON b.snapshot_id = e.snapshot_id AND b.module_name = e.to_module GROUP BY 1, 2, 3"
-_KINDS = " ".join(f"WHEN lower(c.cluster) IN ({', '.join(repr(x) for x in xs)}) THEN '{k}'" for k, xs in KIND_BY_NAME.items())
-CLUSTERS = f"""SELECT c.snapshot_id, c.cluster, c.size, c.n_internal, c.size - c.n_internal AS n_external, coalesce(w.internal, 0) AS internal_weight, coalesce(w.outbound, 0) AS outbound_weight, coalesce(i.inbound, 0) AS inbound_weight,
-    CASE WHEN c.n_internal = 0 THEN 'external' {_KINDS} ELSE 'group' END AS kind,
-    CASE WHEN c.n_internal = 0 OR lower(c.cluster) = 'deps' THEN 0 WHEN c.size - c.n_internal > 3 * c.n_internal AND c.n_internal <= 2 THEN 1 ELSE 2 END AS role_rank
-  FROM (SELECT snapshot_id, cluster, count(*) AS size, count_if(is_internal) AS n_internal FROM {{assign}} GROUP BY 1, 2) c
-  LEFT JOIN (SELECT snapshot_id, from_cluster, CAST(sum(CASE WHEN from_cluster = to_cluster THEN weight ELSE 0 END) AS BIGINT) AS internal, CAST(sum(CASE WHEN from_cluster <> to_cluster THEN weight ELSE 0 END) AS BIGINT) AS outbound FROM ({LINKS}) l GROUP BY 1, 2) w ON w.snapshot_id = c.snapshot_id AND w.from_cluster = c.cluster
-  LEFT JOIN (SELECT snapshot_id, to_cluster, CAST(sum(weight) AS BIGINT) AS inbound FROM ({LINKS}) l WHERE from_cluster <> to_cluster GROUP BY 1, 2) i ON i.snapshot_id = c.snapshot_id AND i.to_cluster = c.cluster"""
-MEMBERS = "SELECT a.snapshot_id, a.cluster, a.module_name, a.is_internal, coalesce(i.w, 0) AS weight_in, coalesce(o.w, 0) AS weight_out, coalesce(i.w, 0) + coalesce(o.w, 0) AS total FROM {assign} a LEFT JOIN (SELECT snapshot_id, to_module AS m, CAST(sum(weight) AS BIGINT) AS w FROM {edges} GROUP BY 1, 2) i ON i.snapshot_id = a.snapshot_id AND i.m = a.module_name LEFT JOIN (SELECT snapshot_id, from_module AS m, CAST(sum(weight) AS BIGINT) AS w FROM {edges} GROUP BY 1, 2) o ON o.snapshot_id = a.snapshot_id AND o.m = a.module_name"
-_RANK = "row_number() OVER (PARTITION BY snapshot_id ORDER BY role_rank DESC, internal_weight + outbound_weight + inbound_weight DESC, internal_weight DESC, size DESC, cluster)"
-BRIDGES = f"""SELECT l.snapshot_id, l.from_cluster, l.to_cluster, l.weight, l.n_edges, CASE WHEN a.role_rank = 2 AND b.role_rank = 2 THEN 2 WHEN a.role_rank > 0 AND b.role_rank > 0 THEN 1 ELSE 0 END AS role_rank, a.role_rank AS from_role, b.role_rank AS to_role
-  FROM ({LINKS}) l JOIN ({CLUSTERS}) a ON a.snapshot_id = l.snapshot_id AND a.cluster = l.from_cluster JOIN ({CLUSTERS}) b ON b.snapshot_id = l.snapshot_id AND b.cluster = l.to_cluster WHERE l.from_cluster <> l.to_cluster"""
-_BRIDGE_ORDER = "role_rank DESC, weight DESC, n_edges DESC, from_cluster, to_cluster"
-
-OPS = {
-    "cl_token_counts": TOKENS,
-    "cl_known_heads": HEADS,
-    "fn_namespace_key": NAMESPACE,
-    "cl_namespace": ASSIGN,
-    "cl_aggregate": LINKS,
-    "cl_weights": f"SELECT snapshot_id, cluster, size, n_internal, n_external, internal_weight, outbound_weight, inbound_weight FROM ({CLUSTERS}) c",
-    "cl_anchor": f"SELECT snapshot_id, cluster, module_name AS anchor FROM (SELECT *, row_number() OVER (PARTITION BY snapshot_id, cluster ORDER BY total DESC, module_name DESC) AS r FROM ({MEMBERS}) m) x WHERE r = 1",
-    "cl_name": f"SELECT snapshot_id, cluster AS name, count(*) AS n_members FROM ({ASSIGN}) a GROUP BY 1, 2",
-    "cl_kind": f"SELECT snapshot_id, cluster, kind FROM ({CLUSTERS}) c",
-    "cl_role": f"SELECT snapshot_id, cluster, CASE role_rank WHEN 0 THEN 'external_sink' WHEN 1 THEN 'support' ELSE 'primary' END AS role FROM ({CLUSTERS}) c",
-    "cl_overview_flag": "SELECT snapshot_id, count(*) AS n_labels, count(DISTINCT cluster) AS n_clusters, count(*) >= 70 AND count(DISTINCT cluster) >= 2 AND count(DISTINCT cluster) + 6 < count(*) AS overview FROM {assign} GROUP BY 1",
-    "rp_cluster_rank": f"SELECT snapshot_id, cluster, {_RANK} AS rank FROM ({CLUSTERS}) c",
-    "rp_bridge_rank": f"SELECT snapshot_id, from_cluster, to_cluster, weight, n_edges, row_number() OVER (PARTITION BY snapshot_id ORDER BY {_BRIDGE_ORDER}) AS rank FROM ({BRIDGES}) b",
-    "rp_overview_edges": f"""SELECT snapshot_id, from_cluster, to_cluster, weight FROM (SELECT *, row_number() OVER (PARTITION BY snapshot_id ORDER BY {_BRIDGE_ORDER}) AS k FROM (
-        SELECT *, row_number() OVER (PARTITION BY snapshot_id, from_cluster ORDER BY weight DESC, n_edges DESC, to_cluster) AS r, row_number() OVER (PARTITION BY snapshot_id ORDER BY {_BRIDGE_ORDER}) AS best FROM ({BRIDGES}) b) x
-        WHERE best = 1 OR to_role > 0 AND (from_role = 2 AND r <= 2 OR r = 1)) y WHERE k <= {KEEP_EDGES}""",
-    "rp_map_summary": f"""WITH c AS (SELECT *, {_RANK} AS rank FROM ({CLUSTERS}) c), b AS (SELECT *, row_number() OVER (PARTITION BY snapshot_id ORDER BY {_BRIDGE_ORDER}) AS rank FROM ({BRIDGES}) b)
-        SELECT c.snapshot_id, max(CASE WHEN c.rank = 1 THEN c.cluster END) AS anchor, count_if(c.role_rank = 0) AS n_sinks, count_if(c.inbound_weight + c.outbound_weight = 0) AS n_isolated, max(b.weight) AS strongest_weight
-        FROM c LEFT JOIN (SELECT snapshot_id, weight FROM b WHERE rank = 1) b ON b.snapshot_id = c.snapshot_id GROUP BY 1""",
-    "rp_cluster_detail": f"SELECT snapshot_id, cluster, module_name, total, weight_in, weight_out, row_number() OVER (PARTITION BY snapshot_id, cluster ORDER BY total DESC, weight_in DESC, weight_out DESC, module_name) AS rank FROM ({MEMBERS}) m",
-    "rp_member_lens": """SELECT snapshot_id, module_name, direction, grp, CAST(sum(weight) AS BIGINT) AS weight, count(*) AS n FROM (
-        SELECT e.snapshot_id, e.from_module AS module_name, 'out' AS direction, CASE WHEN a.cluster = b.cluster OR NOT b.is_internal THEN e.to_module ELSE b.cluster END AS grp, e.weight FROM {edges} e JOIN {assign} a ON a.snapshot_id = e.snapshot_id AND a.module_name = e.from_module JOIN {assign} b ON b.snapshot_id = e.snapshot_id AND b.module_name = e.to_module
-        UNION ALL SELECT e.snapshot_id, e.to_module, 'in', CASE WHEN a.cluster = b.cluster OR NOT a.is_internal THEN e.from_module ELSE a.cluster END, e.weight FROM {edges} e JOIN {assign} a ON a.snapshot_id = e.snapshot_id AND a.module_name = e.from_module JOIN {assign} b ON b.snapshot_id = e.snapshot_id AND b.module_name = e.to_module) u GROUP BY 1, 2, 3, 4""",
-    "rp_sidebar": f"SELECT m.snapshot_id, m.cluster, m.module_name, row_number() OVER (PARTITION BY m.snapshot_id, m.cluster ORDER BY CASE WHEN m.is_internal THEN 0 ELSE 1 END, m.total DESC, m.module_name) AS position FROM ({MEMBERS}) m",
-    "rp_cluster_focus": f"SELECT snapshot_id, cluster, module_name AS focus FROM (SELECT *, row_number() OVER (PARTITION BY snapshot_id, cluster ORDER BY CASE WHEN module_name = cluster THEN 0 ELSE 1 END, total DESC, module_name) AS r FROM ({MEMBERS}) m) x WHERE r = 1",
-    "rp_cluster_hint": f"SELECT snapshot_id, cluster, CASE kind WHEN 'deps' THEN 'third-party' WHEN 'external' THEN 'third-party' WHEN 'entry' THEN 'entry point' WHEN 'infra' THEN 'shared base' WHEN 'workspace' THEN 'workspace' END AS hint FROM ({CLUSTERS}) c",
-    "fn_kind_hint": f"SELECT DISTINCT cluster, kind FROM ({CLUSTERS}) c",
-}
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..config import Clustering
+from ..functions.labels import FIXED_PREFIXES, FIXED_ROOTS, kind_by_name, root_token
+from ..functions.paths import globs_regex
+from .graph_views import ends
+from .scoring import MODULE, SNAPSHOT
+
+DEPS, ROOT = "__deps__", "__root__"
+#: Links that the overview draws, and how many of a primary and of any other cluster.
+DRAWN, OF_PRIMARY, OF_OTHERS = 10, 2, 1
+#: Modules from which the overview is shown, and how many fewer clusters it must have.
+OVERVIEW_MODULES, OVERVIEW_GAIN = 70, 6
+ROLES = ("external_sink", "support", "primary")
+
+
+def token_counts(nodes: DataFrame) -> DataFrame:
+    roots = nodes.where(F.col("is_internal") & ~F.contains(MODULE, F.lit("/"))).select(SNAPSHOT, root_token(F.col(MODULE)).alias("token"))
+    return roots.where("token IS NOT NULL").groupBy(SNAPSHOT, "token").agg(F.count("*").alias("n"))
+
+
+def known_heads(nodes: DataFrame) -> DataFrame:
+    inside = nodes.where(F.col("is_internal") & F.contains(MODULE, F.lit("/")))
+    return inside.select(SNAPSHOT, F.split_part(MODULE, F.lit("/"), F.lit(1)).alias("head")).distinct()
+
+
+def _chain(cases: list[tuple[Column, Column | str]]) -> Column:
+    """The value of the first case that holds, else null."""
+    out = F.lit(None).cast("string")
+    for cond, value in reversed(cases):
+        out = F.when(cond, value).otherwise(out)
+    return out
+
+
+def family_of(label: Column, cfg: Clustering) -> Column:
+    matches = lambda f: label.rlike(globs_regex(f.include)) & ~label.rlike(globs_regex(f.exclude))
+    return _chain([(matches(f), f.name) for f in cfg.ordered_families()])
+
+
+def namespaces(nodes: DataFrame, cfg: Clustering) -> DataFrame:
+    """(snapshot_id, module_name, is_internal, namespace): families first, then externals, path heads, fixed roots and prefixes,
+    and root tokens that recur; null for a name with other characters than letters, digits, '_' and '-'."""
+    label, token = F.col(MODULE), root_token(F.col(MODULE))
+    rows = nodes.select(SNAPSHOT, MODULE, "is_internal", token.alias("token"))
+    rows = rows.join(known_heads(nodes).withColumnRenamed("head", MODULE).withColumn("is_head", F.lit(True)), [SNAPSHOT, MODULE], "left").join(token_counts(nodes), [SNAPSHOT, "token"], "left")
+    family = family_of(label, cfg)
+    external = F.lit(DEPS) if cfg.collapse_external else label
+    prefixes = [(label.startswith(p), name) for p, name in FIXED_PREFIXES.items()]
+    own = _chain([
+        (F.contains(label, F.lit("/")), F.split_part(label, F.lit("/"), F.lit(1))),
+        (label.isin(*FIXED_ROOTS) | (F.lit(cfg.include_exact_roots) & F.coalesce("is_head", F.lit(False))), label),
+        *prefixes,
+        (F.col("n") >= cfg.root_token_min_repeats, F.col("token")),
+        (label.rlike("^[A-Za-z0-9_-]*$"), ROOT),
+    ])
+    return rows.select(SNAPSHOT, MODULE, "is_internal", F.coalesce(family, F.when(~F.col("is_internal"), external).otherwise(own)).alias("namespace"))
+
+
+def assign(nodes: DataFrame, cfg: Clustering) -> DataFrame:
+    """(snapshot_id, module_name, is_internal, cluster, base, name): the namespace, which identifies the cluster, and its name before
+    and after aliases, which two clusters may share. A snapshot with a module without a namespace, or with fewer than two
+    namespaces, has none."""
+    at = Window.partitionBy(SNAPSHOT)
+    rows = namespaces(nodes, cfg).withColumn("whole", F.count("*").over(at) == F.count("namespace").over(at)).withColumn("kinds", F.size(F.collect_set("namespace").over(at)))
+    base = F.when(F.col("namespace") == DEPS, "deps").when(F.col("namespace") == ROOT, cfg.fallback_family).otherwise(F.col("namespace"))
+    rows = rows.where("whole AND kinds >= 2").select(SNAPSHOT, MODULE, "is_internal", F.col("namespace").alias("cluster"), base.alias("base"))
+    return rows.withColumn("name", F.coalesce(_chain([(F.col("base") == k, F.lit(v)) for k, v in cfg.aliases.items()]), "base"))
+
+
+def kind_of(cfg: Clustering) -> Column:
+    """Kind of a cluster (base, name, n_internal): set for its name, or for its name in lower case, then for its family; else
+    external without own modules; else by its name."""
+    name, low = F.col("name"), F.lower("name")
+    hints = [(name == k, F.lit(v)) for k, v in cfg.kinds.items()] + [(low == k, F.lit(v)) for k, v in cfg.kinds.items()]
+    hints += [(F.col("base") == f.name, F.lit(f.kind)) for f in cfg.families if f.kind]
+    return F.coalesce(_chain(hints), F.when(F.col("n_internal") == 0, "external").otherwise(kind_by_name(name)))
+
+
+def links(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """(snapshot_id, from_cluster, to_cluster, weight, n_edges), inside clusters too."""
+    of = lambda c, o: members.select(SNAPSHOT, F.col(MODULE).alias(c), F.col("cluster").alias(o))
+    both = edges.join(of("from_module", "from_cluster"), [SNAPSHOT, "from_module"]).join(of("to_module", "to_cluster"), [SNAPSHOT, "to_module"])
+    return both.groupBy(SNAPSHOT, "from_cluster", "to_cluster").agg(F.sum("weight").alias("weight"), F.count("*").alias("n_edges"))
+
+
+def clusters(members: DataFrame, linked: DataFrame, cfg: Clustering) -> DataFrame:
+    """(snapshot_id, cluster, base, name, size, n_internal, n_external, weights, kind, role_rank, rank)."""
+    size = members.groupBy(SNAPSHOT, "cluster").agg(F.min("base").alias("base"), F.min("name").alias("name"), F.count("*").alias("size"), F.count_if("is_internal").alias("n_internal"))
+    inside = F.col("from_cluster") == F.col("to_cluster")
+    sides = F.array(
+        F.struct(F.col("from_cluster").alias("cluster"), F.when(inside, F.col("weight")).alias("i"), F.when(~inside, F.col("weight")).alias("o"), F.lit(None).cast("bigint").alias("b")),
+        F.struct(F.col("to_cluster").alias("cluster"), F.lit(None).cast("bigint").alias("i"), F.lit(None).cast("bigint").alias("o"), F.when(~inside, F.col("weight")).alias("b")),
+    )
+    sums = linked.select(SNAPSHOT, F.explode(sides).alias("x")).groupBy(SNAPSHOT, F.col("x.cluster").alias("cluster")).agg(
+        F.sum("x.i").alias("internal_weight"), F.sum("x.o").alias("outbound_weight"), F.sum("x.b").alias("inbound_weight")
+    )
+    weights = ["internal_weight", "outbound_weight", "inbound_weight"]
+    rows = size.join(sums, [SNAPSHOT, "cluster"], "left").fillna(0, weights).withColumn("n_external", F.col("size") - F.col("n_internal")).withColumn("kind", kind_of(cfg))
+    support = (F.col("n_external") > 3 * F.col("n_internal")) & (F.col("n_internal") <= 2)
+    role = F.when((F.col("kind") == "deps") | (F.col("n_internal") == 0), 0).when(support, 1).otherwise(2)
+    order = [F.col("role_rank").desc(), sum((F.col(c) for c in weights), F.lit(0)).desc(), F.col("internal_weight").desc(), F.col("size").desc(), "cluster"]
+    return rows.withColumn("role_rank", role).withColumn("rank", F.row_number().over(Window.partitionBy(SNAPSHOT).orderBy(*order)))
+
+
+def bridges(linked: DataFrame, of: DataFrame) -> DataFrame:
+    """Links between clusters with the roles of both ends, and their rank: links of primary clusters before those with support,
+    both before links with a sink."""
+    role = lambda c, o: of.select(SNAPSHOT, F.col("cluster").alias(c), F.col("role_rank").alias(o))
+    rows = linked.where("from_cluster != to_cluster").join(role("from_cluster", "from_role"), [SNAPSHOT, "from_cluster"]).join(role("to_cluster", "to_role"), [SNAPSHOT, "to_cluster"])
+    rows = rows.withColumn("role_rank", F.least("from_role", "to_role"))
+    strength = [F.col("weight").desc(), F.col("n_edges").desc(), "from_cluster", "to_cluster"]
+    at = Window.partitionBy(SNAPSHOT)
+    return rows.withColumn("rank", F.row_number().over(at.orderBy(F.col("role_rank").desc(), *strength))).withColumn("by_weight", F.row_number().over(at.orderBy(*strength)))
+
+
+def overview_edges(ranked: DataFrame) -> DataFrame:
+    """(snapshot_id, from_cluster, to_cluster, weight, place, n_omitted): the strongest links of each cluster, the best bridge, and the
+    strongest link of all if it leads to or from a sink; DRAWN of them, and how many links with sinks are left out."""
+    own = Window.partitionBy(SNAPSHOT, "from_cluster").orderBy(F.col("weight").desc(), F.col("n_edges").desc(), "to_cluster")
+    of_cluster = F.row_number().over(own) <= F.when(F.col("from_role") == 2, OF_PRIMARY).otherwise(OF_OTHERS)
+    sink = F.col("role_rank") == 0
+    chosen = ranked.withColumn("take", of_cluster | (F.col("rank") == 1) | ((F.col("by_weight") == 1) & sink)).where("take")
+    at = Window.partitionBy(SNAPSHOT)
+    placed = chosen.withColumn("place", F.row_number().over(at.orderBy("rank")))
+    placed = placed.withColumn("n_omitted", F.count_if((F.col("place") > DRAWN) & sink).over(at))
+    return placed.where(F.col("place") <= DRAWN).select(SNAPSHOT, "from_cluster", "to_cluster", "weight", "place", "n_omitted")
+
+
+def map_summary(of: DataFrame, ranked: DataFrame, drawn: DataFrame) -> DataFrame:
+    """One row per snapshot: anchor, strongest link with its ends, the strongest link with a sink if it is heavier, and counts."""
+    counts = of.groupBy(SNAPSHOT).agg(
+        F.max(F.when(F.col("rank") == 1, F.col("cluster"))).alias("anchor"), F.count_if(F.col("role_rank") == 0).alias("n_sinks"),
+        F.count_if((F.col("inbound_weight") == 0) & (F.col("outbound_weight") == 0)).alias("n_isolated"),
+    )
+    text = F.concat_ws(" -> ", "from_cluster", "to_cluster")
+    best = ranked.where("rank = 1").select(SNAPSHOT, text.alias("strongest"), F.col("weight").alias("strongest_weight"))
+    third = ranked.where("by_weight = 1 AND role_rank = 0 AND rank != 1").select(SNAPSHOT, text.alias("third_party"), F.col("weight").alias("third_party_weight"))
+    omitted = drawn.groupBy(SNAPSHOT).agg(F.max("n_omitted").alias("n_omitted"))
+    return counts.join(best, SNAPSHOT, "left").join(third, SNAPSHOT, "left").join(omitted, SNAPSHOT, "left").fillna(0, ["n_omitted"])
+
+
+def member_weights(members: DataFrame, edges: DataFrame) -> DataFrame:
+    """members with weight_in, weight_out and total."""
+    weight = lambda d: F.sum(F.when(F.col("direction") == d, F.col("weight")).otherwise(0))
+    sums = ends(edges).groupBy(SNAPSHOT, MODULE).agg(weight("in").alias("weight_in"), weight("out").alias("weight_out"))
+    return members.join(sums, [SNAPSHOT, MODULE], "left").fillna(0, ["weight_in", "weight_out"]).withColumn("total", F.col("weight_in") + F.col("weight_out"))
+
+
+def _first(rows: DataFrame, *order: Column | str) -> DataFrame:
+    return rows.withColumn("r", F.row_number().over(Window.partitionBy(SNAPSHOT, "cluster").orderBy(*order))).where("r = 1").drop("r")
+
+
+def anchors(weighted: DataFrame) -> DataFrame:
+    return _first(weighted, F.col("total").desc(), F.col(MODULE).desc()).select(SNAPSHOT, "cluster", F.col(MODULE).alias("anchor"))
+
+
+def focus(weighted: DataFrame) -> DataFrame:
+    return _first(weighted, (F.col(MODULE) != F.col("base")).cast("int"), F.col("total").desc(), MODULE).select(SNAPSHOT, "cluster", F.col(MODULE).alias("focus"))
+
+
+def detail(weighted: DataFrame, linked: DataFrame) -> DataFrame:
+    """(snapshot_id, cluster, part, name, total, weight_in, weight_out, rank): members, and the clusters that it links to and that
+    link to it, heaviest first."""
+    at = Window.partitionBy(SNAPSHOT, "cluster", "part")
+    own = weighted.select(SNAPSHOT, "cluster", F.lit("member").alias("part"), F.col(MODULE).alias("name"), "total", "weight_in", "weight_out")
+    between = linked.where("from_cluster != to_cluster")
+    zero = F.lit(0).cast("bigint")
+    to = between.select(SNAPSHOT, F.col("from_cluster").alias("cluster"), F.lit("link_out").alias("part"), F.col("to_cluster").alias("name"), F.col("weight").alias("total"), zero.alias("weight_in"), F.col("weight").alias("weight_out"))
+    by = between.select(SNAPSHOT, F.col("to_cluster").alias("cluster"), F.lit("link_in").alias("part"), F.col("from_cluster").alias("name"), F.col("weight").alias("total"), F.col("weight").alias("weight_in"), zero.alias("weight_out"))
+    order = at.orderBy(F.col("total").desc(), F.col("weight_in").desc(), F.col("weight_out").desc(), "name")
+    return own.unionByName(to).unionByName(by).withColumn("rank", F.row_number().over(order))
+
+
+def member_lens(edges: DataFrame, members: DataFrame, of: DataFrame) -> DataFrame:
+    """(snapshot_id, module_name, direction, grp, weight, n, total, n_inside): a module's links, grouped by the other module within its
+    own cluster or if its cluster is a sink, else by the other's cluster; the total of the direction, and the links inside."""
+    mine = members.join(of.select(SNAPSHOT, "cluster", "role_rank"), [SNAPSHOT, "cluster"]).select(SNAPSHOT, MODULE, "cluster", "role_rank")
+    theirs = members.select(SNAPSHOT, F.col(MODULE).alias("other"), F.col("cluster").alias("other_cluster"))
+    rows = ends(edges).join(mine, [SNAPSHOT, MODULE]).join(theirs, [SNAPSHOT, "other"])
+    inside = F.col("cluster") == F.col("other_cluster")
+    rows = rows.withColumn("grp", F.when(inside | (F.col("role_rank") == 0), F.col("other")).otherwise(F.col("other_cluster"))).withColumn("inside", inside.cast("bigint"))
+    per = rows.groupBy(SNAPSHOT, MODULE, "direction", "grp").agg(F.sum("weight").alias("weight"), F.count("*").alias("n"), F.sum("inside").alias("inside"))
+    way, module = Window.partitionBy(SNAPSHOT, MODULE, "direction"), Window.partitionBy(SNAPSHOT, MODULE)
+    return per.select(SNAPSHOT, MODULE, "direction", "grp", "weight", "n", F.sum("weight").over(way).alias("total"), F.sum("inside").over(module).alias("n_inside"))
+
+
+def sidebar(weighted: DataFrame, of: DataFrame, search: str = "") -> DataFrame:
+    """(snapshot_id, place, cluster, position, module_name): clusters by role and weight, and their members, own ones first, by weight.
+    With a search, only clusters whose label or members hold the text."""
+    order = Window.partitionBy(SNAPSHOT).orderBy("rank")
+    rows = weighted.join(of.select(SNAPSHOT, "cluster", "rank", "size"), [SNAPSHOT, "cluster"])
+    if search:
+        holds = lambda c: F.contains(F.lower(c), F.lit(search.lower()))
+        label = F.concat(F.col("name"), F.lit(" ("), F.col("size").cast("string"), F.lit(")"))
+        rows = rows.withColumn("hit", F.max(holds(F.col(MODULE)) | holds(label)).over(Window.partitionBy(SNAPSHOT, "cluster"))).where("hit")
+    position = Window.partitionBy(SNAPSHOT, "cluster").orderBy(F.col("is_internal").desc(), F.col("total").desc(), MODULE)
+    return rows.select(SNAPSHOT, F.dense_rank().over(order).alias("place"), "cluster", F.row_number().over(position).alias("position"), MODULE)
+
+
+def hint(kind: Column) -> Column:
+    return F.when(kind.isin("deps", "external"), "third-party").when(kind == "entry", "entry point").when(kind == "infra", "shared base").when(kind == "workspace", "workspace")
+
+
+def overview_flag(members: DataFrame) -> DataFrame:
+    n = members.groupBy(SNAPSHOT).agg(F.count("*").alias("n_labels"), F.countDistinct("cluster").alias("n_clusters"))
+    return n.withColumn("overview", (F.col("n_labels") >= OVERVIEW_MODULES) & (F.col("n_clusters") >= 2) & (F.col("n_clusters") + OVERVIEW_GAIN < F.col("n_labels")))

@@ -116,10 +116,10 @@ def merge_small(groups: Groups, edges: Edges, spaces: Namespaces) -> Groups:
     """Clusters below the least size join a neighbour: of the same name first, then by weight, then the earlier one."""
     groups, least = [set(g) for g in groups], max(2, spaces.cfg.min_cluster_size)
     near = undirected({x for g in groups for x in g}, edges)
+    place = {x: j for j, h in enumerate(groups) for x in h}
     for i, g in enumerate(groups):
         if not g or len(g) >= least:
             continue
-        place = {x: j for j, h in enumerate(groups) for x in h}
         weight = Counter()
         for x in g:
             for y, w in near[x].items():
@@ -129,6 +129,7 @@ def merge_small(groups: Groups, edges: Edges, spaces: Namespaces) -> Groups:
             name = spaces.base_name(g)
             best = min(weight, key=lambda j: (spaces.base_name(groups[j]) != name, -weight[j], j))
             groups[best] |= g
+            place |= dict.fromkeys(g, best)
             groups[i] = set()
     return _ordered(groups)
 
@@ -245,6 +246,7 @@ def build_map(labels: set[str], edges: Edges, internal: set[str], cfg: Clusterin
         role = "external_sink" if kind == "deps" or (not n_int and n_ext) else "support" if n_ext > 3 * n_int and n_int <= 2 else "primary"
         anchor = max(g, key=lambda x: (degree[x], x))
         clusters.append(Cluster(g, name, kind, role, anchor, level[str(i)], inside=inside[i], outbound=out[i], inbound=into[i]))
+    # fixed values: the margins of the map and the room between them
     deepest = max(c.layer for c in clusters)
     for depth in range(deepest + 1):
         row = sorted((c for c in clusters if c.layer == depth), key=lambda c: (-c.outbound, -c.inbound, -len(c.members), c.name))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import events, extraction, extras, graph, history, scalars, scoring, state, store
+from . import clusters, events, extraction, extras, graph, history, scalars, scoring, state, store
 
 
 def modules() -> list:
-    return [history, scalars, store, graph, scoring, state, extraction, events, extras]
+    return [history, scalars, store, graph, scoring, state, clusters, extraction, events, extras]

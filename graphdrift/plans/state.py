@@ -1,14 +1,14 @@
-"""Queries and oracles of file states and clusters."""
+"""Queries and oracles of file states and of snapshots rebuilt from checkpoints and deltas."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..functions.names import file_path, module_name
-from ..operators import cluster_ops, state_ops
+from ..operators import state_ops
 from ..operators import snapshots as snap
 from . import state_sql
-from .model import duck, edges, frames, nodes, run
+from .model import duck, edges, frames, nodes
 from .runtime import cut, lookup, table
 
 
@@ -123,21 +123,10 @@ _SQL = {
     "import_rows": f"SELECT * FROM (SELECT repo_id, commit_hash, {_P} AS path, {_N.format('from_module')} AS package_name, {_N.format('to_module')} AS module_name, coalesce(weight, 1)::BIGINT AS weight FROM dependency_edges) WHERE repo_id IS NOT NULL AND commit_hash IS NOT NULL AND path IS NOT NULL AND package_name IS NOT NULL AND module_name IS NOT NULL",
     "blobs": f"SELECT repo_id, {_P} AS path, blob_oid FROM source_files",
     "file_rows": state_sql.FILE_ROWS,
-    "assign": cluster_ops.ASSIGN.replace("regexp_like", "regexp_full_match"),
 }
 
 
-def _cluster(text):
-    def query(s, d):
-        graph = {"edges": cut(edges(s, d)), "nodes": cut(nodes(s, d))}
-        if "{assign}" in text:
-            graph["assign"] = cut(run(s, d, cluster_ops.ASSIGN, **graph))
-        return run(s, d, text, **graph)
-
-    return query
-
-
-QUERIES = {n: (lambda s, d, f=f: f(file_rows(s, d))) for n, f in state_ops.OPS.items()} | {n: _cluster(t) for n, t in cluster_ops.OPS.items()}
+QUERIES = {n: (lambda s, d, f=f: f(file_rows(s, d))) for n, f in state_ops.OPS.items()}
 QUERIES |= {
     "src_tree_diff": _file_versions,
     "src_blob_lookup": _blob_lookup,
@@ -156,4 +145,4 @@ _STATE = {n: t for n, t in state_sql.OPS.items() if n in QUERIES} | {
     "q_snapshot_nodes": "SELECT n.* FROM {nodes} n JOIN {frames} f ON f.snapshot_id = n.snapshot_id",
     "q_load_snapshots": f"SELECT snapshot_id, n_nodes, n_edges, weight, CASE WHEN n_nodes = 0 AND n_edges = 0 THEN 'empty' WHEN n_nodes IS NOT DISTINCT FROM node_count AND n_edges IS NOT DISTINCT FROM edge_count THEN 'loaded' ELSE 'differs' END AS state FROM ({_COUNTS}) c",
 }
-ORACLES = {n: duck(t.replace("regexp_like", "regexp_full_match"), **_SQL) for n, t in (_STATE | cluster_ops.OPS).items()}
+ORACLES = {n: duck(t, **_SQL) for n, t in _STATE.items()}

@@ -75,6 +75,28 @@ def test_config():
             parse_config(bad)
 
 
+def test_namespaces_agree_with_the_map(spark):
+    """The distributed namespaces and the map of one graph group and name modules alike, under families, rules and aliases."""
+    from graphdrift.operators.cluster_ops import assign, clusters, links
+    from graphdrift.plans.cluster_sql import CONFIGURED
+
+    inside = {"store/a", "store/sub", "header/x", "core", "cycle/q", "api_one", "api_two", "lone", "libs_x", "cli", "web/a", "web", "deps/own", "a_backup"}
+    outside = {"react", "serde", "corelib"}
+    names_ = sorted(inside | outside)
+    e = {(a, b): i + 1 for i, (a, b) in enumerate(zip(names_, names_[1:] + names_[:1]))}
+    nodes = spark.createDataFrame([("s", x, x in inside, None) for x in names_] + [("odd", "a b", True, None), ("odd", "x/y", True, None)], "snapshot_id string, module_name string, is_internal boolean, importer_count bigint")
+    edges = spark.createDataFrame([("s", a, b, w) for (a, b), w in e.items()], "snapshot_id string, from_module string, to_module string, weight bigint")
+    members = assign(nodes, CONFIGURED)
+    of = {(r["cluster"], r["name"], r["kind"], ("external_sink", "support", "primary")[r["role_rank"]], r["internal_weight"], r["outbound_weight"], r["inbound_weight"]) for r in clusters(members, links(edges, members), CONFIGURED).collect()}
+    got = {}
+    for r in members.collect():
+        assert r["snapshot_id"] == "s"
+        got.setdefault(r["cluster"], set()).add(r["module_name"])
+    want = build_map(set(names_), e, inside, CONFIGURED)
+    assert {frozenset(m) for m in got.values()} == {frozenset(c.members) for c in want}
+    assert sorted((sorted(got[c]), *rest) for c, *rest in of) == sorted((sorted(c.members), c.name, c.kind, c.role, c.inside, c.outbound, c.inbound) for c in want)
+
+
 def test_clustering_settings():
     c = parse_config("""
 [clustering]
