@@ -199,8 +199,17 @@ QUERIES["fn_resolve_python_relative"] = lambda s, d: _imports(s, d).where("name
 ORACLES["fn_resolve_python_relative"] = f"SELECT *, {_SQL_PY.format(n='name')} AS value FROM ({_SQL_IMPORTS}) WHERE name LIKE '.%'"
 QUERIES["fn_import_target"] = lambda s, d: P.with_import_target(_imports(s, d), P.detect_language(F.col("file_path")), P.package_name(F.col("file_path")), F.col("file_path"), F.col("name"))
 ORACLES["fn_import_target"] = _sql_target()
-QUERIES["fn_prefix_rule"] = lambda s, d: _pairs(s, d).where(L.prefix_rule(F.col("from_module"), F.col("to_module")))
-ORACLES["fn_prefix_rule"] = f"SELECT * FROM ({_SQL_PAIRS}) WHERE " + " OR ".join(f"(starts_with(from_module, '{a}') AND starts_with(to_module, '{b}'))" for a, b in L.PREFIX_RULES)
+# each pair under a side of the rules chosen by the length of its names: some pairs break one
+_SIDES = [sorted({r[i] for r in L.PREFIX_RULES}) for i in (0, 1)]
+
+
+def _sided(s, d):
+    put = lambda c, sides: F.concat(F.get(F.array(*map(F.lit, sides)), (F.length(c) % len(sides)).cast("int")), F.col(c)).alias(c)
+    return _pairs(s, d).select(put("from_module", _SIDES[0]), put("to_module", _SIDES[1]))
+
+
+QUERIES["fn_prefix_rule"] = lambda s, d: _sided(s, d).where(L.prefix_rule(F.col("from_module"), F.col("to_module")))
+ORACLES["fn_prefix_rule"] = f"SELECT * FROM (SELECT {_SIDES[0]}[length(from_module) % {len(_SIDES[0])} + 1] || from_module AS from_module, {_SIDES[1]}[length(to_module) % {len(_SIDES[1])} + 1] || to_module AS to_module FROM ({_SQL_PAIRS})) WHERE " + " OR ".join(f"(starts_with(from_module, '{a}') AND starts_with(to_module, '{b}'))" for a, b in L.PREFIX_RULES)
 QUERIES["fn_advisory_filter"] = lambda s, d: _lines(s, d).where(L.advisory(F.col("line")))
 ORACLES["fn_advisory_filter"] = f"SELECT * FROM ({_SQL_LINES}) WHERE " + " OR ".join(f"contains(lower(line), '{w}')" for w in L.ADVICE_WORDS)
 QUERIES["flt_label_search"] = lambda s, d: _labels(s, d).where(F.contains(F.lower("label"), F.lit("core")))
