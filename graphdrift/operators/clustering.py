@@ -6,7 +6,6 @@ gone through in the order of their smallest label, so nothing depends on the ord
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter, defaultdict
 from dataclasses import dataclass
@@ -280,29 +279,3 @@ def architecture_maps(edges: DataFrame, nodes: DataFrame, cfg: Clustering | None
     return rows.groupBy("snapshot_id").applyInPandas(
         run, "snapshot_id string, module_name string, cluster string, kind string, role string, anchor string, layer bigint, x_ratio double, y_ratio double, internal_weight bigint, outbound_weight bigint, inbound_weight bigint"
     )
-
-
-def force_layout(labels: set[str], edges: Edges, steps: int = 120, seed: int = 7) -> dict[str, tuple[float, float]]:
-    """Places by repulsion, springs along edges and gravity, from a seeded circle with jitter; the same for the same graph."""
-    import numpy as np
-
-    names = sorted(labels)
-    at = {x: i for i, x in enumerate(names)}
-    n = len(names)
-    rng = np.random.default_rng(seed)
-    turn = np.arange(n) * 2 * math.pi / max(n, 1)
-    pos = np.stack([np.cos(turn), np.sin(turn)], axis=1) * 10 + rng.normal(0, 0.1, (n, 2))
-    old = pos.copy()
-    a, b = (np.array([at[e[k]] for e in edges], dtype=int) for k in (0, 1))
-    w = np.log1p(np.array(list(edges.values()), dtype=float))
-    for step in range(steps):
-        gap = pos[:, None] - pos[None]
-        far = (gap**2).sum(axis=2) + 0.05
-        force = (gap / far[..., None]).sum(axis=1) * 2 - pos * 0.03
-        if len(a):
-            pull = (pos[b] - pos[a]) * (0.02 * w)[:, None]
-            np.add.at(force, a, pull)
-            np.add.at(force, b, -pull)
-        keep = 0.9 * 0.997**step
-        pos, old = pos + (pos - old) * keep * 0.5 + np.clip(force, -5, 5) * 0.1, pos
-    return {x: (float(pos[i, 0]), float(pos[i, 1])) for x, i in at.items()}

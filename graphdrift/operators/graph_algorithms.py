@@ -368,7 +368,7 @@ def layout(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(snapshot_id, module_name, x, y): a place for every module, the same in every run."""
 
     def make(v, e):
-        from .clustering import force_layout
+        from .layout import force_layout
 
         return [(m, round(x, 6), round(y, 6)) for m, (x, y) in sorted(force_layout(v, e).items())]
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import cluster_ops as C
+from ..operators.layout import overview
 from .cluster_sql import ASSIGN, CONFIGURED, OPS
 from .model import duck, edges, nodes
 from .runtime import cut
@@ -64,6 +65,11 @@ def _sidebar(search):
     return query
 
 
+def _overview(s, d):
+    of, ranked = _Map(s, d).ranked()
+    return overview(of, ranked)
+
+
 QUERIES = {
     "cl_token_counts": lambda s, d: C.token_counts(nodes(s, d)),
     "cl_known_heads": lambda s, d: C.known_heads(nodes(s, d)),
@@ -76,6 +82,7 @@ QUERIES = {
     "cl_kind": _clusters("kind"),
     "cl_role": lambda s, d: _Map(s, d).clusters().select("snapshot_id", "cluster", F.element_at(F.array(*map(F.lit, C.ROLES)), F.col("role_rank") + 1).alias("role")),
     "cl_overview_flag": lambda s, d: C.overview_flag(_Map(s, d).members),
+    "ly_overview": _overview,
     "rp_cluster_rank": _clusters("rank"),
     "rp_bridge_rank": lambda s, d: _Map(s, d).ranked()[1].select("snapshot_id", "from_cluster", "to_cluster", "weight", "n_edges", "rank"),
     "rp_overview_edges": lambda s, d: C.overview_edges(_Map(s, d).ranked()[1]),
@@ -88,4 +95,4 @@ QUERIES = {
     "rp_cluster_hint": lambda s, d: _Map(s, d).clusters().select("snapshot_id", "cluster", C.hint(F.col("kind")).alias("hint")),
     "fn_kind_hint": lambda s, d: _Map(s, d).clusters().select("name", "kind").distinct(),
 }
-ORACLES = {n: duck(OPS[n].replace("regexp_like", "regexp_full_match"), assign=ASSIGN.replace("regexp_like", "regexp_full_match")) for n in QUERIES}
+ORACLES = {n: duck(OPS[n].replace("regexp_like", "regexp_full_match"), assign=ASSIGN.replace("regexp_like", "regexp_full_match")) for n in QUERIES if n in OPS}
