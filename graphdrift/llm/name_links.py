@@ -205,13 +205,19 @@ def canonical_names(people: DataFrame, forms: DataFrame, lex: Lexicon) -> DataFr
         .join(freq, "surname")
         .join(freq.select(F.col("surname").alias("b"), F.col("s").alias("s_b")), "b")
         .where((F.col("n_b") > F.col("n")) | ((F.col("n_b") == F.col("n")) & ((F.col("s_b") > F.col("s")) | ((F.col("s_b") == F.col("s")) & (F.col("b") < F.col("surname"))))))
-        .select("kind", "given", "surname", "b", "dist", "n_b")
+        .select("kind", "given", "surname", "g_b", "b", "dist", "n_b")
     )
-    s_map = _nearest(cut(s_cand), ["kind", "given", "surname"], ["b"]).select("kind", "given", "surname", F.col("b").alias("sur1"))
-    step = cut(names.join(s_map, ["kind", "given", "surname"], "left").withColumn("sur1", F.coalesce("sur1", "surname")))
-    # two steps lead a variant of a variant home
-    s2 = step.select("kind", "given", F.col("surname").alias("sur1"), F.col("sur1").alias("sur2"))
-    step = cut(step.join(s2, ["kind", "given", "sur1"], "left").withColumn("sur", F.coalesce("sur2", "sur1")))
+    s_map = _nearest(cut(s_cand), ["kind", "given", "surname"], ["b", "g_b"]).select("kind", "given", "surname", F.col("g_b").alias("via"), F.col("b").alias("sur"))
+    step = cut(names.join(s_map, ["kind", "given", "surname"], "left").withColumn("via", F.coalesce("via", "given")).withColumn("sur", F.coalesce("sur", "surname")))
+    # a variant of a variant goes where that one goes, with the form of the given name that led there; every pointer leads to
+    # a more frequent name, so they end, and each round doubles the steps
+    moved = True
+    while moved:
+        then = step.select("kind", F.col("given").alias("via"), F.col("surname").alias("sur"), F.col("via").alias("via2"), F.col("sur").alias("sur2"))
+        further = step.join(then, ["kind", "via", "sur"], "left").withColumn("moved", F.coalesce(F.col("sur2") != F.col("sur"), F.lit(False)))
+        further = cut(further.select("kind", "given", "surname", "n", F.coalesce("via2", "via").alias("via"), F.coalesce("sur2", "sur").alias("sur"), "moved"))
+        moved = further.where("moved").limit(1).count() > 0
+        step = further.drop("moved")
     # given name: within one surname, forms of one name or within some edits
     g = cut(step.where("kind = 'person'").groupBy(F.col("sur").alias("surname"), "given").agg(F.sum("n").alias("n")))
     g_near = near_words(g.select("surname", "given"), "given", ["surname"])

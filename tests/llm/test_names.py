@@ -70,6 +70,18 @@ def test_swapped_letters_in_short_names(spark):
     assert pairs == {p for g in ({152, 158, 412}, {20, 21, 22}, {30, 31, 32}) for p in itertools.combinations(sorted(g), 2)}
 
 
+def test_variants_of_variants_of_variants(spark):
+    """Each spelling is near the next one only; the pointers lead all of them to the most frequent one."""
+    chain = ["Kuvelsanderix", "Kuvelsamderax", "Kuvilsamdorax", "Koviltamdorax", "Koviltandorek", "Gofiltandorek"]
+    people, key = [], 0
+    for i, surname in enumerate(chain):
+        for _ in range(i + 1):
+            key += 1
+            people.append((key, f"Amina {surname}", f"box{key}@shared.example", "l", "n"))
+    got = {tuple(r) for r in author_pairs(same_authors(spark.createDataFrame(people, COMMIT), spark.createDataFrame([], FORM))).collect()}
+    assert got == set(itertools.combinations(range(1, key + 1), 2))
+
+
 def test_empty(spark):
     assert author_pairs(same_authors(spark.createDataFrame([], COMMIT), spark.createDataFrame([], FORM))).collect() == []
 
