@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..config import Clustering, Thresholds
 from ..operators import graph_algorithms as A
 from ..operators import graph_views as V
+from ..operators.blast_native import blast_native
 from ..operators.clustering import architecture_maps
 from ..operators.scc_native import scc_native
 from ..operators.scoring import module_degrees
@@ -98,6 +99,7 @@ QUERIES = {
     "gr_longest_distance": _algorithm(A.longest_distance),
     "gr_layers": _algorithm(A.component_layers),
     "gr_label_propagation": _algorithm(A.label_propagation),
+    "gr_blast_native": lambda s, d: blast_native(cut(edges(s, d)), cut(nodes(s, d))).withColumn("weighted_reach", F.round("weighted_reach", 6)),
     "gr_scc_native": lambda s, d: scc_native(cut(edges(s, d)), cut(nodes(s, d))),
     "cl_build": _algorithm(architecture_maps),
     "cl_build_structural": lambda s, d: architecture_maps(edges(s, d), nodes(s, d), Clustering(strategy="structural")),

@@ -72,6 +72,7 @@ PATH_SQL = {
 }
 PATH_ORACLES = {
     "gr_articulation": "SELECT c.snapshot_id, c.module_name, (SELECT count(*) FROM {edges} e WHERE e.snapshot_id = c.snapshot_id AND e.to_module = c.module_name) AS fan_in, (SELECT count(*) FROM {edges} e WHERE e.snapshot_id = c.snapshot_id AND e.from_module = c.module_name) AS fan_out, c.parts AS components_bridged FROM {cuts} c",
+    "gr_blast_native": "SELECT snapshot_id, module_name, downstream_count, round(weighted_reach, 6) AS weighted_reach FROM {blast}",
     "gr_critical_path_weights": "SELECT snapshot_id, rank, total_weight FROM (SELECT snapshot_id, row_number() OVER (PARTITION BY snapshot_id ORDER BY max(total) DESC) AS rank, max(total)::BIGINT AS total_weight FROM {sums} GROUP BY snapshot_id, scc_id HAVING max(total) > 0) WHERE rank <= 5",
     "gr_blast_summary": "SELECT snapshot_id, count(*) FILTER (is_articulation_point) AS articulation_point_count, round(max(score), 6) AS max_blast_score, first(module_name ORDER BY round(score, 9) DESC, module_name) AS most_impactful_module, round(avg(score), 6) AS mean_blast_score FROM {blast} GROUP BY 1",
     "gr_layers": "SELECT c.snapshot_id, c.module_name, max(s.level)::BIGINT AS layer FROM {scc} c JOIN {steps} s ON s.snapshot_id = c.snapshot_id AND s.scc_id = c.scc_id GROUP BY 1, 2",

@@ -6,6 +6,7 @@ import pytest
 
 from graphdrift.config import parse_config
 from graphdrift.operators import graph_algorithms as A
+from graphdrift.operators.blast_native import blast_native
 from graphdrift.operators.scc_native import scc_native
 from graphdrift.operators.scoring import boundary_list, diagnostics, drift
 
@@ -76,8 +77,18 @@ def test_native_components_equal_grouped(spark):
     assert {tuple(r) for r in scc_native(edges, nodes).collect()} == a
 
 
+def test_native_impacts_equal_grouped(spark):
+    rng = random.Random(9)
+    graphs = {k: v[0] for k, v in GOLDEN.items() if len(v[0]) < 60}
+    graphs |= {f"r{i}": {(f"v{rng.randrange(12)}", f"v{rng.randrange(12)}"): rng.randrange(1, 9) for _ in range(20)} for i in range(4)}
+    edges, nodes = frames(spark, graphs)
+    a = {tuple(r)[:2]: (r[2], pytest.approx(r[3])) for r in A.blast_all(edges, nodes).collect()}
+    assert {tuple(r)[:2]: (r[2], r[3]) for r in blast_native(edges, nodes).collect()} == a
+
+
 def test_empty_graph(spark):
     edges, nodes = frames(spark, {})
+    assert blast_native(edges, nodes).collect() == []
     assert A.scc(edges, nodes).collect() == [] and scc_native(edges, nodes).collect() == []
     assert drift(edges, nodes, spark.createDataFrame([], FRAME), A.scc(edges, nodes)).collect() == []
     assert diagnostics(edges, nodes, A.scc(edges, nodes)).collect() == []
