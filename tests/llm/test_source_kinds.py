@@ -106,3 +106,13 @@ def test_empty_and_named(spark):
     edges = spark.createDataFrame([("r", ".\\a.js".replace(".\\", "./"), None), ("r", None, [("src\\b.js", 1), (None, 2)])], edge)
     some = spark.createDataFrame([(1, "r", "a.js", hand(1), 1, ""), (2, "r", "src/b.js", hand(2), 1, ""), (3, "r", "c.js", hand(3), 1, "")], FILE)
     assert {r["file_id"] for r in hand_written(edges, some, up).collect()} == {1, 2}
+
+
+def test_copies_whose_source_is_neither_first_nor_last_holder(spark):
+    own = [f"let unique{i} = compute{i}(alpha, beta);" for i in range(20)]
+    halves = {"a": own[:10], "b": own[10:], "y": own[:10], "z": own[10:]}
+    rows = [(1, "m", "m.js", "\n".join(own), None), (2, "n", "n.js", "\n".join(own[:16] + [f"export const other{i} = {i};" for i in range(9)]), None)]
+    rows += [(10 + i, repo, "x.js", "\n".join(part + [f"return {repo}{j} + {j} * scale;" for j in range(20)]), None) for i, (repo, part) in enumerate(halves.items())]
+    files = spark.createDataFrame([(*r, None) for r in rows], FILE)
+    got = {r.file_id for r in file_kinds(files, spark.createDataFrame([], UP)).where("kind = 'third_party'").collect()}
+    assert got == {1}
