@@ -12,7 +12,7 @@ from ..operators.clustering import architecture_maps
 from ..operators.scc_native import scc_native
 from ..operators.scoring import module_degrees
 from .graph_sql import BLAST_SQL, OPS, PATH_ORACLES, PATH_SQL, SCC_SQL
-from .model import duck, edges, nodes
+from .model import duck, edges, links, modules, nodes
 from .runtime import cut
 
 _MORE = SCC_SQL | BLAST_SQL | PATH_SQL
@@ -100,7 +100,7 @@ QUERIES = {
     "gr_layers": _algorithm(A.component_layers),
     "gr_label_propagation": _algorithm(A.label_propagation),
     "gr_blast_native": lambda s, d: blast_native(cut(edges(s, d)), cut(nodes(s, d))).withColumn("weighted_reach", F.round("weighted_reach", 6)),
-    "gr_scc_native": lambda s, d: scc_native(cut(edges(s, d)), cut(nodes(s, d))),
+    "gr_scc_native": lambda s, d: scc_native(links(s, d), modules(s, d)),
     "cl_build": _algorithm(architecture_maps),
     "cl_build_structural": lambda s, d: architecture_maps(edges(s, d), nodes(s, d), Clustering(strategy="structural")),
     "cl_layout_ratio": lambda s, d: _maps(s, d).select("snapshot_id", "cluster", "layer", "x_ratio", "y_ratio").distinct(),

@@ -24,6 +24,19 @@ def edges(s: SparkSession, d: str) -> DataFrame:
     return rows.select(snapshot_id().alias("snapshot_id"), "from_module", "to_module", "weight")
 
 
+def links(s: SparkSession, d: str) -> DataFrame:
+    """(snapshot_id, from_module, to_module) of each stored edge: repeated ones and self-edges too, which edges leaves out."""
+    e = table(s, d, "dependency_edges").where("repo_id IS NOT NULL AND commit_hash IS NOT NULL")
+    named = e.select(snapshot_id().alias("snapshot_id"), module_name(F.col("from_module")).alias("from_module"), module_name(F.col("to_module")).alias("to_module"))
+    return named.where("from_module IS NOT NULL AND to_module IS NOT NULL")
+
+
+def modules(s: SparkSession, d: str) -> DataFrame:
+    """(snapshot_id, module_name) of each stored module; with the ends of links these are the rows of nodes."""
+    n = table(s, d, "node_metadata").where("repo_id IS NOT NULL AND commit_hash IS NOT NULL")
+    return n.select(snapshot_id().alias("snapshot_id"), module_name(F.col("module_name")).alias("module_name")).where("module_name IS NOT NULL")
+
+
 def nodes(s: SparkSession, d: str) -> DataFrame:
     """(snapshot_id, module_name, is_internal, importer_count): stored modules and ends of edges of each snapshot."""
     e = table(s, d, "dependency_edges").where("repo_id IS NOT NULL AND commit_hash IS NOT NULL")

@@ -1,14 +1,17 @@
 import itertools
 import math
+import pathlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from graphdrift.config import parse_config
 from graphdrift.operators import graph_algorithms as A
 from graphdrift.operators.blast_native import blast_native
 from graphdrift.operators.scc_native import scc_native
 from graphdrift.operators.scoring import boundary_list, diagnostics, drift
+from graphdrift.plans.runtime import ensure_checkpoint_dir
 
 
 FRAME = "snapshot_id string, repo_id string, commit_hash string, scan_order bigint, frame_ts bigint"
@@ -77,6 +80,22 @@ def test_native_components_equal_grouped(spark):
     assert {tuple(r) for r in scc_native(edges, nodes).collect()} == a
 
 
+def test_native_components_keep_little_on_disk(spark):
+    """Edges are held once as numbers, whatever the number of rounds; repeated edges, self-edges and lone modules don't matter."""
+    ensure_checkpoint_dir(spark)
+    folder = spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:")
+    size = lambda: sum(p.stat().st_size for p in pathlib.Path(folder).rglob("*") if p.is_file())
+    ids = spark.range(2000).select(F.concat(F.lit("repository-with-a-long-name@"), F.md5(F.col("id").cast("string"))).alias("snapshot_id"))
+    graph = ring(6) | {(f"n{i}", f"leaf{i}"): 1 for i in range(6)} | {(f"leaf{i}", f"end{i}"): 1 for i in range(6)} | {("own", "own"): 1}
+    links = spark.createDataFrame([*graph, *graph], "from_module string, to_module string")
+    edges, nodes = ids.crossJoin(links), ids.withColumn("module_name", F.lit("lone"))
+    before = size()
+    got = scc_native(edges, nodes)
+    assert size() - before < 1_000_000
+    rows = {(r["module_name"], r["scc_id"]): r["count"] for r in got.groupBy("module_name", "scc_id").count().collect()}
+    assert rows == {(m, "n0" if m[0] == "n" else m): 2000 for m in {x for k in graph for x in k} | {"lone"}}
+
+
 def test_native_impacts_equal_grouped(spark):
     rng = random.Random(9)
     graphs = {k: v[0] for k, v in GOLDEN.items() if len(v[0]) < 60}
