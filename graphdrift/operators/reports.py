@@ -52,6 +52,11 @@ def recommendations(drift: DataFrame) -> DataFrame:
     return drift.select(SNAPSHOT, F.explode(F.when(F.size(all_) > 0, all_).otherwise(none)).alias("x")).select(SNAPSHOT, "x.rule_id", "x.value")
 
 
+def chains(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The section chains, which needs nothing but the graph."""
+    return _section(A.critical_paths(edges, nodes, CHAINS), "chains", F.col("rank"), F.col("chain"), F.col("total_weight"))
+
+
 def analyze(edges: DataFrame, nodes: DataFrame, frames: DataFrame, scc: DataFrame, drift: DataFrame, blast: DataFrame, cfg: Scoring | None = None, snapshot_id: str | None = None) -> DataFrame:
     """The sections drift, temporal, boundaries, cycles, cut_vertices, impacts, chains and recommendations of one snapshot or all.
 
@@ -68,7 +73,6 @@ def analyze(edges: DataFrame, nodes: DataFrame, frames: DataFrame, scc: DataFram
         earlier = earlier.where(F.col(SNAPSHOT) == snapshot_id)
     cuts = _top(A.articulation(edges, nodes), CUTS, F.col("components_bridged").desc(), "module_name")
     hits = _top(blast, IMPACTS, F.round("score", 9).desc(), "module_name")
-    chains = A.critical_paths(edges, nodes, CHAINS)
     cross = crossings(edges, cfg)
     rec = _top(recommendations(drift), 100, "rule_id")
     one, keystone = F.lit(1), F.when(F.col("is_articulation_point"), F.lit(" [keystone]")).otherwise("")
@@ -79,7 +83,7 @@ def analyze(edges: DataFrame, nodes: DataFrame, frames: DataFrame, scc: DataFram
         _section(cyclic_components(scc).groupBy(SNAPSHOT).agg(F.count("*").alias("n")), "cycles", one, F.lit("n_cycles"), F.col("n")),
         _section(cuts, "cut_vertices", F.col("rank"), F.col("module_name"), F.col("components_bridged")),
         _section(hits, "impacts", F.col("rank"), F.concat("module_name", keystone), F.col("score")),
-        _section(chains, "chains", F.col("rank"), F.col("chain"), F.col("total_weight")),
+        chains(edges, nodes),
         _section(rec, "recommendations", F.col("rank"), F.col("rule_id"), F.col("value")),
     ]
     return reduce(DataFrame.unionByName, parts)

@@ -8,7 +8,7 @@ from ..config import parse_config
 from ..functions.labels import PREFIX_RULES, prefix_rule
 from ..operators import graph_algorithms as A
 from ..operators import scoring as S
-from ..operators.reports import analyze
+from ..operators.reports import analyze, chains
 from .graph import _MORE
 from .model import duck, edges, frames, nodes
 from .runtime import cut
@@ -128,7 +128,7 @@ QUERIES = {
     "sc_cycle_count": lambda s, d: S.cyclic_components(A.scc(edges(s, d), nodes(s, d))).groupBy("snapshot_id").agg(F.count("*").alias("n_cycles")),
     "sc_legacy_boundaries": _prefixed,
     "rp_analyze": lambda s, d: _report(s, d).where("section != 'chains'"),
-    "rp_analyze_chains": lambda s, d: _report(s, d).where("section = 'chains'"),
+    "rp_analyze_chains": lambda s, d: chains(edges(s, d), nodes(s, d)),
     "rp_boundary_list": lambda s, d: S.boundary_list(edges(s, d), CONFIGURED),
     "g_degrees": _degrees,
     "g_instability": lambda s, d: _degrees(s, d).select(
