@@ -15,6 +15,7 @@ from ..functions.labels import FIXED_PREFIXES, FIXED_ROOTS, kind_by_name, root_t
 from ..functions.paths import globs_regex
 from .graph_views import ends
 from .scoring import MODULE, SNAPSHOT
+from .snapshot_diff import delivered_weight
 
 DEPS, ROOT = "__deps__", "__root__"
 #: Links that the overview draws, and how many of a primary and of any other cluster.
@@ -50,9 +51,13 @@ def family_of(label: Column, cfg: Clustering) -> Column:
 def namespaces(nodes: DataFrame, cfg: Clustering) -> DataFrame:
     """(snapshot_id, module_name, is_internal, namespace): families first, then externals, path heads, fixed roots and prefixes,
     and root tokens that recur; null for a name with other characters than letters, digits, '_' and '-'."""
-    label, token = F.col(MODULE), root_token(F.col(MODULE))
-    rows = nodes.select(SNAPSHOT, MODULE, "is_internal", token.alias("token"))
-    rows = rows.join(known_heads(nodes).withColumnRenamed("head", MODULE).withColumn("is_head", F.lit(True)), [SNAPSHOT, MODULE], "left").join(token_counts(nodes), [SNAPSHOT, "token"], "left")
+    label, slash = F.col(MODULE), F.contains(MODULE, F.lit("/"))
+    inside = F.col("is_internal") & slash
+    head = F.when(inside, F.split_part(MODULE, F.lit("/"), F.lit(1))).otherwise(label)
+    rows = nodes.select(SNAPSHOT, MODULE, "is_internal", root_token(label).alias("token"), head.alias("head")).repartition(SNAPSHOT)  # for all windows
+    of_token, of_head = Window.partitionBy(SNAPSHOT, "token"), Window.partitionBy(SNAPSHOT, "head")
+    repeats = F.count_if(F.col("token").isNotNull() & F.col("is_internal") & ~slash).over(of_token)
+    rows = rows.withColumn("n", F.nullif(repeats, F.lit(0).cast("bigint"))).withColumn("is_head", ~slash & F.max(inside).over(of_head))
     family = family_of(label, cfg)
     external = F.lit(DEPS) if cfg.collapse_external else label
     prefixes = [(label.startswith(p), name) for p, name in FIXED_PREFIXES.items()]
@@ -93,6 +98,34 @@ def links(edges: DataFrame, members: DataFrame) -> DataFrame:
     return both.groupBy(SNAPSHOT, "from_cluster", "to_cluster").agg(F.sum("weight").alias("weight"), F.count("*").alias("n_edges"))
 
 
+def _with_ends(rows: DataFrame, value: str, into: tuple[str, str]) -> DataFrame:
+    """The rows of links (SNAPSHOT, a, b, ...) with the value of both ends; one whose end has none is left out.
+
+    The values lie among the rows, under their key as `a` and a null `b`, so that one exchange by snapshot does what two joins
+    would need three for; the rows must come from _by_snapshot.
+    """
+    rows = rows.withColumn(into[0], F.max(value).over(Window.partitionBy(SNAPSHOT, "a"))).withColumn("end", F.coalesce("b", "a"))
+    rows = rows.withColumn(into[1], F.max(value).over(Window.partitionBy(SNAPSHOT, "end")))
+    return rows.where(F.col("b").isNotNull() & F.col(into[0]).isNotNull() & F.col(into[1]).isNotNull()).drop(value, "end")
+
+
+def _by_snapshot(rows: DataFrame) -> DataFrame:
+    """The rows, those of a snapshot in one partition: as many partitions as the input has, so that a task sorts no more than what
+    one reads."""
+    n = max(rows.rdd.getNumPartitions(), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartition(n, SNAPSHOT)
+
+
+def delivered_links(delivered: DataFrame, members: DataFrame) -> DataFrame:
+    """links() of the weights that count among stored edges (snapshot_id, from_module, to_module, delivery), with no exchange of the
+    edges but one by snapshot, in which stored edges lie side by side and so take little room."""
+    both = delivered.select(SNAPSHOT, F.col("from_module").alias("a"), F.col("to_module").alias("b"), "delivery", F.lit(None).cast("string").alias("cluster"))
+    both = both.unionByName(members.select(SNAPSHOT, F.col(MODULE).alias("a"), F.lit(None).cast("string").alias("b"), F.lit(None).cast("decimal(38,0)").alias("delivery"), "cluster"))
+    once = _by_snapshot(both).groupBy(SNAPSHOT, "a", "b").agg(F.max("delivery").alias("delivery"), F.max("cluster").alias("cluster"))
+    rows = _with_ends(once.where("b IS NULL OR a != b"), "cluster", ("from_cluster", "to_cluster"))
+    return rows.groupBy(SNAPSHOT, "from_cluster", "to_cluster").agg(F.sum(delivered_weight(F.col("delivery"))).alias("weight"), F.count("*").alias("n_edges"))
+
+
 def clusters(members: DataFrame, linked: DataFrame, cfg: Clustering) -> DataFrame:
     """(snapshot_id, cluster, base, name, size, n_internal, n_external, weights, kind, role_rank, rank)."""
     size = members.groupBy(SNAPSHOT, "cluster").agg(F.min("base").alias("base"), F.min("name").alias("name"), F.count("*").alias("size"), F.count_if("is_internal").alias("n_internal"))
@@ -115,8 +148,10 @@ def clusters(members: DataFrame, linked: DataFrame, cfg: Clustering) -> DataFram
 def bridges(linked: DataFrame, of: DataFrame) -> DataFrame:
     """Links between clusters with the roles of both ends, and their rank: links of primary clusters before those with support,
     both before links with a sink."""
-    role = lambda c, o: of.select(SNAPSHOT, F.col("cluster").alias(c), F.col("role_rank").alias(o))
-    rows = linked.where("from_cluster != to_cluster").join(role("from_cluster", "from_role"), [SNAPSHOT, "from_cluster"]).join(role("to_cluster", "to_role"), [SNAPSHOT, "to_cluster"])
+    none = lambda c, t: F.lit(None).cast(t).alias(c)
+    rows = linked.where("from_cluster != to_cluster").select(SNAPSHOT, F.col("from_cluster").alias("a"), F.col("to_cluster").alias("b"), "weight", "n_edges", none("role", "int"))
+    rows = rows.unionByName(of.select(SNAPSHOT, F.col("cluster").alias("a"), none("b", "string"), none("weight", "bigint"), none("n_edges", "bigint"), F.col("role_rank").alias("role")))
+    rows = _with_ends(_by_snapshot(rows), "role", ("from_role", "to_role")).withColumnsRenamed({"a": "from_cluster", "b": "to_cluster"})
     rows = rows.withColumn("role_rank", F.least("from_role", "to_role"))
     strength = [F.col("weight").desc(), F.col("n_edges").desc(), "from_cluster", "to_cluster"]
     at = Window.partitionBy(SNAPSHOT)

@@ -32,7 +32,8 @@ def _delivery(delivered_at: Column, weight: Column) -> Column:
     return (micros * F.lit(_WHOLE).cast("decimal(20,0)") + (weight.cast("decimal(19,0)") + F.lit(_HALF).cast("decimal(19,0)"))).cast("decimal(38,0)")
 
 
-def _delivered_weight(delivery: Column) -> Column:
+def delivered_weight(delivery: Column) -> Column:
+    """The weight in a delivery of named_edges."""
     return (F.pmod(delivery, F.lit(_WHOLE).cast("decimal(20,0)")) - F.lit(_HALF).cast("decimal(19,0)")).cast("bigint")
 
 
@@ -71,7 +72,7 @@ def current_edges(edges: DataFrame) -> DataFrame:
     Of several deliveries the latest `delivered_at` counts (null is earliest), of equal ones the greater weight.
     """
     key = ["repo_id", "commit_hash", "from_module", "to_module"]
-    return named_edges(edges).groupBy(*key).agg(F.max("delivery").alias("d")).select(*key, _delivered_weight(F.col("d")).alias("weight"))
+    return named_edges(edges).groupBy(*key).agg(F.max("delivery").alias("d")).select(*key, delivered_weight(F.col("d")).alias("weight"))
 
 
 def snapshot_changes(edges: DataFrame, frames: DataFrame) -> DataFrame:
@@ -88,7 +89,7 @@ def snapshot_changes(edges: DataFrame, frames: DataFrame) -> DataFrame:
         rows.repartition(*edge)
         .groupBy(*edge, "at")
         .agg(F.max("delivery").alias("d"), F.max("n").alias("n"))
-        .select(*edge, "at", "n", _delivered_weight(F.col("d")).alias("weight"))
+        .select(*edge, "at", "n", delivered_weight(F.col("d")).alias("weight"))
     )
     # +1 where a row is in the later frame of a pair of frames, -1 where it is in the earlier one
     sides = F.array(

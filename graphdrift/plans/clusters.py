@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import functions as F
 
 from ..operators import cluster_ops as C
 from ..operators.layout import overview
 from .cluster_sql import ASSIGN, CONFIGURED, OPS
-from .model import duck, edges, nodes
-from .runtime import cut
+from .model import deliveries, duck, edges, nodes
+from .runtime import Scratch, cut, unsized
 
 SEARCH = "core"
 
@@ -17,8 +19,15 @@ class _Map:
     """The relations of one data directory that several reports share, each computed once."""
 
     def __init__(self, s, d):
-        self.nodes, self.edges = cut(nodes(s, d)), cut(edges(s, d))
-        self.members = cut(C.assign(self.nodes, CONFIGURED))
+        self.s, self.d = s, d
+
+    @cached_property
+    def edges(self):
+        return cut(edges(self.s, self.d))
+
+    @cached_property
+    def members(self):
+        return cut(C.assign(nodes(self.s, self.d), CONFIGURED))
 
     @property
     def links(self):
@@ -28,8 +37,14 @@ class _Map:
         return C.clusters(self.members, self.links if linked is None else linked, CONFIGURED)
 
     def ranked(self):
-        linked = cut(self.links)
-        of = cut(self.clusters(linked))
+        """Clusters and the links between them, ranked. What is used twice is kept as Parquet, a small part of a checkpoint's size."""
+        kept = Scratch(self.s)
+        members = unsized(kept.keep("members", C.assign(nodes(self.s, self.d), CONFIGURED)))
+        kept.free()
+        linked = unsized(kept.keep("links", C.delivered_links(deliveries(self.s, self.d), members)))
+        kept.free()
+        of = unsized(kept.keep("clusters", C.clusters(members, linked, CONFIGURED)))
+        kept.drop("members")
         return of, C.bridges(linked, of)
 
     @property

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import module_name
-from ..operators.snapshot_diff import current_edges
+from ..operators.snapshot_diff import current_edges, named_edges
 from .runtime import table
 
 
@@ -24,6 +24,12 @@ def edges(s: SparkSession, d: str) -> DataFrame:
     return rows.select(snapshot_id().alias("snapshot_id"), "from_module", "to_module", "weight")
 
 
+def deliveries(s: SparkSession, d: str) -> DataFrame:
+    """(snapshot_id, from_module, to_module, delivery) of each stored edge, repeated ones and self-edges too; of an edge's deliveries
+    the greatest counts."""
+    return named_edges(table(s, d, "dependency_edges")).select(snapshot_id().alias("snapshot_id"), "from_module", "to_module", "delivery")
+
+
 def links(s: SparkSession, d: str) -> DataFrame:
     """(snapshot_id, from_module, to_module) of each stored edge: repeated ones and self-edges too, which edges leaves out."""
     e = table(s, d, "dependency_edges").where("repo_id IS NOT NULL AND commit_hash IS NOT NULL")
