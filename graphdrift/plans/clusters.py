@@ -58,7 +58,7 @@ def _clusters(*cols):
 
 def _summary(s, d):
     of, ranked = _Map(s, d).ranked()
-    ranked = cut(ranked)
+    ranked = unsized(Scratch(s).keep("ranked", ranked))
     return C.map_summary(of, ranked, C.overview_edges(ranked))
 
 
