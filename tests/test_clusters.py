@@ -44,3 +44,10 @@ def test_links_are_ranked_without_joins_of_all_edges(spark, monkeypatch, name):
     plans = dict(seen)
     assert {"members", "links", "clusters"} <= set(plans)
     assert not [n for n in ("members", "links", "ranked") if "Join" in plans.get(n, "")]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the given tables")
+def test_overview_edges_are_chosen_without_joins(spark):
+    """What is left to run of the query has windows only, so that nothing of it goes through the driver."""
+    plan = entry.queries()["rp_overview_edges"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan and "Join" not in plan
